@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import current_chunks, read
-from . import boilerplate, leakage, packing, pairs, reading, split, terms
+from . import boilerplate, leakage, neighbours, packing, pairs, reading, split, terms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,18 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.mark(*terms.chunk_terms(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.most_similar(read(spark, sf_dir, "chunks"), "chunk_id", "embedding", "loaded_at", floor=0.8)
+    return near.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
+
+
+def p4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar chunks of every chunk whose hashed id is divisible by 100, among all chunks."""
+    asks = F.pmod(F.xxhash64("chunk_id"), F.lit(100)) == 0
+    near = neighbours.most_similar(read(spark, sf_dir, "chunks"), "chunk_id", "embedding", "loaded_at", asks=asks)
+    return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour"), F.round("cosine", 4).alias("cosine"), "rank")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_verdicts(spark, sf_dir).filter("defect is not null")
 
@@ -63,7 +75,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_terms, p5_found, p5_verdicts, p6_found, p6_containers, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_topk, p5_found, p5_verdicts, p6_found, p6_containers, p7_found, p8_found)}
 
 _CURRENT = "current as (select * from (select *, row_number() over (partition by chunk_id order by loaded_at desc) as rn from chunks) where rn = 1)"
 
