@@ -142,7 +142,8 @@ def _packed(items: DataFrame, groups: int, first: int, capacity: int) -> DataFra
         return pd.DataFrame({"container": ((first + int(pdf["grp"].iloc[0])) << 32) + where, "fill": fill[where], "item": pdf["item"], "piece": pdf["piece"], "pieces": pdf["pieces"], "size": sizes})
 
     dealt = items.withColumn("grp", F.pmod(F.xxhash64("item", "piece"), F.lit(groups)).cast("int"))
-    return dealt.groupBy("grp").applyInPandas(run, schema)
+    # as many partitions as groups: the rows are few, so adaptive execution would put all groups into one task
+    return dealt.repartition(groups, "grp").groupBy("grp").applyInPandas(run, schema)
 
 
 def fill_containers(items: DataFrame, count: int, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
