@@ -8,6 +8,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from .stemmer import stem_word
 
@@ -33,7 +34,7 @@ def _map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t is not None else None)
 
@@ -81,12 +82,12 @@ def query_words(c: Column) -> Column:
     return F.array_distinct(F.filter(words(c), lambda w: ~w.isin(QUESTION_WORDS) & ((F.length(w) > 1) | w.rlike(r"^\d$"))))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stems(lists: pd.Series) -> pd.Series:
     return lists.map(lambda ws: None if ws is None else list(dict.fromkeys(stem_word(w) for w in ws)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks, 2M / T, of two lower-cased texts."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)], dtype="float64")

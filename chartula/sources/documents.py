@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import unescape
 from .tables import ITEMS
@@ -173,7 +174,7 @@ def main_content(source: str, name: str = "") -> str:
     return f"<html><head><meta charset='utf-8'><title>{' '.join(page.title.split()) or name}</title></head><body>{body}</body></html>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def main_content_of(pages: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else main_content(p, n or "") for p, n in zip(pages, names)], dtype=object)
 

@@ -6,17 +6,25 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DateType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import blank_to_null
 
-REGISTER = StructType.fromDDL("file_name string, title string, doc_type string, topic string, entity string, issue_date date, updated_as_on date, status string, replaced_by string, amends string, in_scope string, notes string")
-CHUNKS = StructType.fromDDL(
+_TYPES = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "date": DateType(), "array<float>": ArrayType(FloatType())}
+
+
+def schema_of(text: str) -> StructType:
+    """A schema from 'name type, ...' that needs no session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (part.split() for part in text.split(","))])
+
+
+REGISTER = schema_of("file_name string, title string, doc_type string, topic string, entity string, issue_date date, updated_as_on date, status string, replaced_by string, amends string, in_scope string, notes string")
+CHUNKS = schema_of(
     "chunk_id string, doc string, title string, status string, updated_as_on date, region string, chapter string, section string, para string, para_title string, part int, parts int, "
     "page_start int, page_end int, amendment_note string, boilerplate boolean, text string, embed_text string, embedding array<float>"
 )
-QUESTIONS = StructType.fromDDL(", ".join(f"{c} string" for c in "id question expected_answer key_facts source_doc source_section page evidence_quote type verified auto_check".split()))
-ITEMS = StructType.fromDDL("doc string, seq int, label string, text string, page int, top double, marker string, in_picture boolean")
+QUESTIONS = schema_of(", ".join(f"{c} string" for c in "id question expected_answer key_facts source_doc source_section page evidence_quote type verified auto_check".split()))
+ITEMS = schema_of("doc string, seq int, label string, text string, page int, top double, marker string, in_picture boolean")
 COUNTERS = ("refused", "exact_refusal", "citation_match", "expected_in_top5", "all_expected_in_top5")
 AMOUNTS = ("answer_cost_usd", "judge_cost_usd", "answer_seconds")
 
