@@ -15,10 +15,11 @@ from ..plans.tables import small, written
 
 SHARES = (0.5, 0.7, 0.8, 0.9, 0.95)
 #: Ranks at which coverage is counted, half an octave apart; shares between two of them are interpolated.
-RANKS = [int(round(2 ** (k / 2))) for k in range(4, 36)]
+RANKS = [int(round(2 ** (k / 2))) for k in range(4, 34)]
+QUARTILES = (0.25, 0.5, 0.75)
 #: Graded documents used for calibration, at most.
 FIT_ROWS = 5000
-RIDGE = 0.05
+RIDGE = 0.2
 #: A text is English prose if this share of its words are English function words, more than of any other language.
 ENGLISH_SHARE = 0.2
 
@@ -51,17 +52,18 @@ def document_features(df: DataFrame, ranks: DataFrame, doc: str = "doc_id", text
     """One row per document that has words: tokens, sentences, coverage counts, word lengths and function-word shares. ``doc`` must be unique."""
     sentences = F.regexp_count(F.col(text), F.lit(r"[.!?][\"'”’)\]]*(?:\s|$)"))
     commas = F.length(text) - F.length(F.translate(F.col(text), ",;", ""))
+    lengths = F.array_sort(F.filter(F.transform(F.split(F.col(text), r"[.!?][\"'”’)\]]*\s+"), lambda s: F.regexp_count(s, F.lit(r"\S+"))), lambda n: n > 2))
     # the counts are made before the explode, else they would be made again for every word; explode_outer, as explode adds a filter that tokenises twice
-    own = df.select(F.col(doc).alias("doc"), sentences.alias("sentences"), commas.alias("commas"), tokens(F.col(text)).alias("words"))
-    long = own.select("doc", "sentences", "commas", F.explode_outer("words").alias("word"))
-    vocabulary = ranks.select(
-        "word", "rank", F.length("word").alias("chars"),
-        *[F.col("word").isin(ws).cast("int").alias(f"is_{k}") for k, ws in FUNCTION_WORDS.items()],
-    )
-    return long.join(small(written(vocabulary)), "word").groupBy("doc", "sentences", "commas").agg(
-        F.count(F.lit(1)).alias("tokens"), F.sum("chars").alias("chars"), F.sum((F.col("chars") >= 9).cast("int")).alias("long_words"),
-        *[F.sum(f"is_{k}").alias(k) for k in FUNCTION_WORDS],
-        *[F.sum((F.col("rank") <= r).cast("int")).alias(f"c{i}") for i, r in enumerate(RANKS)],
+    own = df.select(F.col(doc).alias("doc"), sentences.alias("sentences"), commas.alias("commas"), lengths.alias("lengths"), tokens(F.col(text)).alias("words"))
+    quartiles = F.when(F.size("lengths") > 0, F.array(*[F.get("lengths", F.floor(q * F.size("lengths")).cast("int")) for q in QUARTILES]))
+    long = own.select("doc", "sentences", "commas", quartiles.alias("lengths"), "words").select("doc", "sentences", "commas", "lengths", F.explode_outer("words").alias("word"))
+    # ranks beyond the last one counted are not needed, so what is broadcast has at most RANKS[-1] words whatever the corpus
+    vocabulary = ranks.filter(F.col("rank") <= RANKS[-1]).select("word", "rank", *[F.col("word").isin(ws).cast("int").alias(f"is_{k}") for k, ws in FUNCTION_WORDS.items()])
+    chars = F.length("word")
+    return long.filter(F.col("word").isNotNull()).join(F.broadcast(vocabulary), "word", "left").groupBy("doc", "sentences", "commas", "lengths").agg(
+        F.count(F.lit(1)).alias("tokens"), F.sum(chars).alias("chars"), F.sum((chars >= 9).cast("int")).alias("long_words"),
+        *[F.coalesce(F.sum(f"is_{k}"), F.lit(0)).alias(k) for k in FUNCTION_WORDS],
+        *[F.coalesce(F.sum((F.col("rank") <= r).cast("int")), F.lit(0)).alias(f"c{i}") for i, r in enumerate(RANKS)],
     )
 
 
@@ -78,10 +80,10 @@ def coverage_rank(share: float) -> Column:
 
 
 def measures(features: DataFrame) -> DataFrame:
-    """(doc, english, sentences, x1..): the features as numbers of like scale; x1 is the sentence length, null if the text has no sentence ends."""
+    """(doc, english, sentences, x1..): the features as numbers of like scale; x1 to x4 are the mean and quartiles of the sentence lengths, null if the text has no sentence ends."""
     english = (F.col("en") >= ENGLISH_SHARE * F.col("tokens")) & (F.col("en") > F.greatest("de", "fr", "es"))
     cols = [
-        F.when(F.col("sentences") > 0, F.log2(F.col("tokens") / F.col("sentences"))),
+        *[F.when(F.col("sentences") > 0, F.log2(c)) for c in (F.col("tokens") / F.col("sentences"), *[F.get("lengths", i) for i in range(len(QUARTILES))])],
         *[coverage_rank(s) for s in SHARES],
         F.col("chars") / F.col("tokens"),
         F.log2(1 + 100 * F.col("long_words") / F.col("tokens")),
@@ -130,8 +132,9 @@ def reading_levels(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     level = F.lit(None)
     if len(set(y.tolist())) > 1:
         x = rows[cols].to_numpy(float)
-        whole = ~np.isnan(x[:, 0])
-        level = level_column(fit_linear(x[:, 1:], y), cols[1:])
+        n = 1 + len(QUARTILES)
+        whole = ~np.isnan(x[:, :n]).any(1)
+        level = level_column(fit_linear(x[:, n:], y), cols[n:])
         if len(set(y[whole].tolist())) > 1:
-            level = F.when(F.col(cols[0]).isNull(), level).otherwise(level_column(fit_linear(x[whole], y[whole]), cols))
+            level = F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in cols[:n]]) == 1, level).otherwise(level_column(fit_linear(x[whole], y[whole]), cols))
     return table.filter("english").select(F.col("doc").alias(doc), level.cast("bigint").alias("reading_level"))
