@@ -12,7 +12,7 @@ from chartula.plans.queries import QUERIES
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, (list, np.ndarray)):
         return tuple(plain(x) for x in v)
