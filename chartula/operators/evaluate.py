@@ -71,6 +71,38 @@ def recall(results: DataFrame, ks=KS, by: tuple[str, ...] = ("type",)) -> DataFr
     return results.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"hit_{k}"), 6).alias(f"recall_{k}") for k in ks])
 
 
+def allowed_by_type(questions: DataFrame, chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits (id, chunk_id, ..) that a question's type may use: current documents for simple and multi-part questions, all for the others."""
+    own = hits.join(questions.select("id", "type"), "id").join(chunks.select("chunk_id", "status"), "chunk_id")
+    return own.filter(~F.col("type").isin(*PLAIN_TYPES) | (F.col("status") == "active")).select(*hits.columns)
+
+
+def half_found(results: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id): questions with several expected places of which not all were found."""
+    several = targets.filter("parsed").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    return results.filter("all_found = 0").join(several, "id", "left_semi").select("id")
+
+
+def resolve_document(names: DataFrame, register: DataFrame, name: str = "name") -> DataFrame:
+    """``names`` with ``doc``: the registered document of the same stem (the least of several), else the stem with .pdf."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    known = register.groupBy(stem(F.col("file_name")).alias("_stem")).agg(F.min("file_name").alias("_file"))
+    out = names.withColumn("_stem", stem(F.col(name))).join(known, "_stem", "left")
+    return out.withColumn("doc", F.coalesce("_file", F.concat("_stem", F.lit(".pdf")))).select(*names.columns, "doc")
+
+
+def graded_rows(df: DataFrame, column: str) -> DataFrame:
+    """Rows with a verdict in ``column``, in one form; a value that is no verdict raises an error."""
+    v = F.lower(F.trim(column))
+    checked = F.when(v.isin(*VERDICTS), v).otherwise(F.raise_error(F.concat(F.lit("no verdict: "), v)))
+    return df.filter(F.trim(F.coalesce(column, F.lit(""))) != "").withColumn(column, checked)
+
+
+def encoded_sources(n: str = "n", ref: str = "chunk_id", doc: str = "doc") -> Column:
+    """'S1=<chunk id>' or 'S1=status:<document>' of a source row."""
+    return F.concat(F.lit("S"), F.col(n).cast("string"), F.lit("="), F.coalesce(F.col(ref), F.concat(F.lit("status:"), F.col(doc))))
+
+
 def ranks_by_method(results: DataFrame, methods: list[str]) -> DataFrame:
     """(id, <method>..): the rank of each method side by side. ``results`` is (id, method, rank)."""
     return results.groupBy("id").pivot("method", methods).agg(F.min("rank"))
@@ -80,11 +112,11 @@ def ranks_by_method(results: DataFrame, methods: list[str]) -> DataFrame:
 
 def majority(votes: DataFrame, keys: list[str], value: str, tie) -> DataFrame:
     """(keys, winner, agreement): the most frequent value, or ``tie`` if two share the first place (its agreement may then be 0). Null votes do not count."""
-    counts = votes.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    top = F.max("n").over(Window.partitionBy(*keys))
+    counts = votes.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    top = F.max("_c").over(Window.partitionBy(*keys))
     per = counts.withColumn("_top", top).groupBy(*keys).agg(
-        F.sum("n").alias("_all"), F.count_if(F.col("n") == F.col("_top")).alias("_first"), F.max(F.when(F.col("n") == F.col("_top"), F.col(value))).alias("_v"),
-        F.max("_top").alias("_n"), F.coalesce(F.max(F.when(F.col(value) == F.lit(tie), F.col("n"))), F.lit(0)).alias("_tie"),
+        F.sum("_c").alias("_all"), F.count_if(F.col("_c") == F.col("_top")).alias("_first"), F.max(F.when(F.col("_c") == F.col("_top"), F.col(value))).alias("_v"),
+        F.max("_top").alias("_n"), F.coalesce(F.max(F.when(F.col(value) == F.lit(tie), F.col("_c"))), F.lit(0)).alias("_tie"),
     )
     shared = F.col("_first") > 1
     return per.select(*keys, F.when(shared, F.lit(tie)).otherwise(F.col("_v")).alias("winner"), F.round(F.when(shared, F.col("_tie")).otherwise(F.col("_n")) / F.col("_all"), 6).alias("agreement"))

@@ -122,7 +122,7 @@ def keyword_terms(queries: DataFrame, dfs: DataFrame, total: DataFrame, qid: str
     """
     terms = query_words(F.col(text))
     terms = stemmer(terms) if stemmer is not None else terms
-    own = queries.select(qid, F.explode(terms).alias("lexeme")).join(dfs, "lexeme", "left").select(qid, "lexeme", F.coalesce("df", F.lit(0)).alias("df"))
+    own = queries.select(qid, F.explode_outer(terms).alias("lexeme")).filter(F.col("lexeme").isNotNull()).join(dfs, "lexeme", "left").select(qid, "lexeme", F.coalesce("df", F.lit(0)).alias("df"))
     own = own.join(F.broadcast(total.select(F.col(total.columns[0]).alias("_n")))).withColumn("_keep", F.col("df") <= max_df * F.col("_n"))
     w = Window.partitionBy(qid)
     own = own.withColumn("_kept", F.sum(F.col("_keep").cast("int")).over(w)).withColumn("_r", F.row_number().over(w.orderBy("df", "lexeme")))

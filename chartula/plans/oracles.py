@@ -129,6 +129,15 @@ ORACLES = {
           else 'paras ' || coalesce(paras[1], '') || '-' || coalesce(paras[len(paras)], '') end end as target from targets""",
     "retrieval_results": f"with {_KEYWORD}, {_hits('', 30)}, {_TARGETS}, {_MATCHED} select * replace (cast(rank as int) as rank) from results",
     "recall_at_k": f"with {_KEYWORD}, {_hits('', 30)}, {_TARGETS}, {_MATCHED} select type, count(*) as n, " + ", ".join(f"round(avg(hit_{k}), 6) as recall_{k}" for k in (1, 3, 5, 10, 20, 30)) + " from results group by grouping sets ((), (type))",
+    "method_ranks": f"""with {_KEYWORD}, {_TARGETS}, {_hits('', 30, 'hits_a')}, {_hits('where chunk_id in ' + _ACTIVE, 30, 'hits_b')}, both_hits as (select 'every' as method, * from hits_a union all select 'current', * from hits_b),
+        t as (select * from targets where parsed and type <> 'unanswerable'),
+        r as (select t.id, h.method, min(h.rank) as rank from t join (both_hits h join cur c using (chunk_id)) on h.qid = t.id and c.doc = t.doc and c.region = t.region
+          where (t.paras is null or list_contains(t.paras, coalesce(c.para, ''))) and (t.section_contains is null or contains(coalesce(c.section, ''), t.section_contains)) group by 1, 2)
+        select i.id, a.rank::int as every, b.rank::int as current from (select distinct id from t) i left join r a on a.id = i.id and a.method = 'every' left join r b on b.id = i.id and b.method = 'current'""",
+    "policy_hits": f"with {_KEYWORD}, {_hits('', 30)} select h.qid as id, h.chunk_id, h.score, cast(h.rank as int) as rank from hits h join questions q on q.id = h.qid join cur c using (chunk_id) where q.type not in ('simple', 'multi_part') or c.status = 'active'",
+    "half_found": f"with {_KEYWORD}, {_hits('', 30)}, {_TARGETS}, {_MATCHED} select id from results where all_found = 0 and id in (select id from targets where parsed group by 1 having count(*) > 1)",
+    "resolved_documents": r"""with n as (select id, unnest(string_split(source_doc, ' | ')) as name from questions), k as (select regexp_replace(file_name, '\.[^.]*$', '') as stem, min(file_name) as f from doc_register group by 1)
+        select id, name, coalesce(k.f, regexp_replace(name, '\.[^.]*$', '') || '.pdf') as doc from n left join k on k.stem = regexp_replace(name, '\.[^.]*$', '')""",
     "majority_votes": f"""with {_GOLD}, c as (select id, verdict, count(*) as n from gold where verdict is not null group by 1, 2), t as (select *, max(n) over (partition by id) as top, sum(n) over (partition by id) as total from c),
         g as (select id, count(*) filter (n = top) as firsts, max(verdict) filter (n = top) as v, max(top) as top, coalesce(max(n) filter (verdict = 'partial'), 0) as tie, max(total) as total from t group by 1)
         select id, case when firsts > 1 then 'partial' else v end as winner, round(case when firsts > 1 then tie else top end / total, 6) as agreement from g""",

@@ -12,6 +12,7 @@ from ..operators import answering as A
 from ..operators import chunking as C
 from ..operators import evaluate as E
 from ..operators import maintenance as M
+from ..operators import providers as P
 from ..operators import register as R
 from ..operators import search as S
 from ..sources import tables as K
@@ -50,7 +51,8 @@ def in_scope_documents(spark, d):
 
 
 def load_report(spark, d):
-    return M.load_report(_chunks(spark, d, "doc", "boilerplate", "embedding"), read(spark, d, "doc_register"))
+    flagged = read(spark, d, "chunks").withColumn("embedding", F.when(F.col("embedding").isNotNull(), 1))  # the vectors themselves need not travel
+    return M.load_report(latest(flagged, ["chunk_id"], "loaded_at", ["chunk_id", "doc", "boilerplate", "embedding"]), read(spark, d, "doc_register"))
 
 
 def _posts(chunks: DataFrame) -> DataFrame:
@@ -223,6 +225,35 @@ def method_ranks(spark, d):
     return E.ranks_by_method(reduce(DataFrame.unionByName, parts), ["every", "current"])
 
 
+def policy_hits(spark, d):
+    """Keyword hits cut to what each question's type may use."""
+    chunks, _, hits = _keyword(spark, d, None, 30)
+    return E.allowed_by_type(read(spark, d, "questions"), chunks, hits.withColumnRenamed("qid", "id"))
+
+
+def half_found(spark, d):
+    targets = E.parse_targets(read(spark, d, "questions")).filter("type <> 'unanswerable'")
+    return E.half_found(_retrieval(spark, d, None, "keyword"), targets)
+
+
+def resolved_documents(spark, d):
+    names = read(spark, d, "questions").select("id", F.explode(F.split("source_doc", r" \| ")).alias("name"))
+    return E.resolve_document(names, read(spark, d, "doc_register"))
+
+
+def judged_answers(spark, d):
+    """Verdicts of the rule judge: three votes per answer, a majority per fact, a verdict from the facts."""
+    rows = _verdicts(spark, d).select("id", "source_run", F.col("system_answer").alias("answer"), E.split_facts(F.col("key_facts")).alias("facts"))
+    return P.judge(P.rule_votes(rows), ["id", "source_run"])
+
+
+def embedded_delta(spark, d):
+    """Chunks delivered after the cut as they go to the embedder: unchanged ones are left as stored (here null), the others get a vector of the hashing embedder."""
+    old, new = delta_chunks(spark, d)
+    changes = M.delta(old, new, "chunk_id", "text", "tsv").withColumn("embedding", F.lit(None).cast("array<float>"))
+    return P.embed_delta(changes, "text", "embedding").select("chunk_id", "change", F.size("embedding").alias("dim"))
+
+
 def majority_votes(spark, d):
     return E.majority(_verdicts(spark, d), ["id"], "verdict", "partial")
 
@@ -335,7 +366,7 @@ QUERIES = {
     for f in (
         chunk_versions, register_rows, in_scope_documents, load_report, lexeme_df, keyword_terms, keyword_topk, vector_topk, vector_topk_filtered, hybrid_rrf, recall_by_label, delta_detect,
         upsert_chunks, stale_chunks, clean_texts, squash_texts, numbers_in_answers, chunk_labels, boilerplate_flags, status_labels, best_documents, source_prompts, generated_answers, cited_sources,
-        cost_estimate, eval_targets, retrieval_results, recall_at_k, method_ranks, majority_votes, fact_verdicts, confusion_matrix, agreement_rate, verdict_counts, answer_stats, run_spread,
+        cost_estimate, eval_targets, retrieval_results, recall_at_k, method_ranks, policy_hits, half_found, resolved_documents, judged_answers, embedded_delta, majority_votes, fact_verdicts, confusion_matrix, agreement_rate, verdict_counts, answer_stats, run_spread,
         unstable_questions, changed_questions, cited_records, quote_pages, question_checks, check_outcomes, chunk_summary, sections_in_order, numbers_rise, shortest_chunks, seeded_sample,
         chunked_documents, repeated_stamps, event_windows, event_stream,
     )
