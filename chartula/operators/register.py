@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
+from ..plans.tables import spread
 
 SUPERSEDED = ("repealed", "withdrawn", "incorporated")
 MIN_SCORE = 0.35
@@ -91,7 +92,7 @@ def best_documents(register: DataFrame, queries: DataFrame, qid: str = "qid", te
     0.1 for an amendment nobody asked for. ``matched`` marks a first rank of at least 0.35. An empty register gives no row. The register
     (thousands of rows) is joined to a stated set of queries through shared tokens where that is possible and is otherwise the smaller side.
     """
-    docs = register.select("file_name", "title", "doc_type", document_tokens().alias("_d"))
+    docs = spread(register.select("file_name", "title", "doc_type", document_tokens().alias("_d")), "file_name")  # the similarity is costly
     q = queries.select(F.col(qid), F.col(text).alias("_q"), match_tokens(F.col(text)).alias("_t"))
     pairs = docs.join(F.broadcast(q))
     missing = F.array_except("_t", "_d")

@@ -17,6 +17,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a small file is one partition, and costly work per row would use one core.
+
+    Tables of more partitions, as all large ones are, are left alone, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
     """Per key the row with the greatest ``order``.
 
