@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import current_chunks, read
+from ..plans.tables import current_chunks, read, spread
 from . import boilerplate, leakage, neighbours, packing, pairs, reading, split, terms
 
 
@@ -68,11 +68,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"))
+    return leakage.leaked(spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), read(spark, sf_dir, "questions"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.reading_levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels"))
+    return reading.reading_levels(spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), read(spark, sf_dir, "reading_labels"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_topk, p5_found, p5_verdicts, p6_found, p6_containers, p7_found, p8_found)}
