@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..plans.tables import spread
 
 SUPERSEDED = ("repealed", "withdrawn", "incorporated")
 MIN_SCORE = 0.35
+#: Queries compared with the register at once.
+BLOCK_QUERIES = 10_000
 #: Words without weight, aliases and months of the matcher.
 STOPWORDS = "the of on for and a an in to is are still force rbi reserve bank india directions direction what which where now it".split()
 ALIASES = {"md": "master", "nbfcs": "nbfc", "non": "nbfc", "banking": "nbfc", "companies": "nbfc", "know": "kyc", "customer": "kyc", "2nd": "second"}
@@ -89,12 +93,14 @@ def best_documents(register: DataFrame, queries: DataFrame, qid: str = "qid", te
     """(qid, file_name, score, rank, matched): the best documents for each query, ties by file name descending.
 
     Score: 0.75 of the query's tokens found, 0.25 of the similarity with the title, less 0.3 for each year or month the document lacks and
-    0.1 for an amendment nobody asked for. ``matched`` marks a first rank of at least 0.35. An empty register gives no row. The register
-    (thousands of rows) is joined to a stated set of queries through shared tokens where that is possible and is otherwise the smaller side.
+    0.1 for an amendment nobody asked for. ``matched`` marks a first rank of at least 0.35. An empty register gives no row. Every query is
+    compared with every document, as the similarity has no index: the queries are a stated set and go in blocks.
     """
     docs = spread(register.select("file_name", "title", "doc_type", document_tokens().alias("_d")), "file_name")  # the similarity is costly
     q = queries.select(F.col(qid), F.col(text).alias("_q"), match_tokens(F.col(text)).alias("_t"))
-    pairs = docs.join(F.broadcast(q))
+    blocks = max(1, -(-q.count() // BLOCK_QUERIES))  # a stated set of queries, sent in blocks of bounded size
+    parts = [docs.join(F.broadcast(q.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b))) for b in range(blocks)]
+    pairs = reduce(DataFrame.unionByName, parts)
     missing = F.array_except("_t", "_d")
     misses = F.size(F.filter(missing, lambda w: w.rlike(r"^(19|20)\d\d$") | w.isin(MONTHS)))
     unasked = (F.coalesce(F.col("doc_type"), F.lit("")) == "amendment") & ~F.array_contains("_t", "amendment")
