@@ -44,8 +44,8 @@ def frequency_ranks(df: DataFrame, text: str = "text") -> DataFrame:
     """
     counts = written(df.select(F.explode_outer(tokens(F.col(text))).alias("word")).filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     kinds = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    rank = kinds.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("rank"))
-    return counts.join(F.broadcast(rank), "n").select("word", "rank")
+    rank = small(written(kinds.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("rank"))))
+    return counts.join(rank, "n").select("word", "rank")
 
 
 def document_features(df: DataFrame, ranks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
