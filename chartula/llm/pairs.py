@@ -61,6 +61,11 @@ _CLOSED = re.compile(r"[.!?…][\"'”’»)\]*_]*$")
 #: Words no complete sentence ends with.
 _DANGLING = set("a an the of to in and or nor by for from with at on under within between that which who whose if when where unless until than as any no every is are was were be been shall may has have its their de la le les des du un une et en dans par pour sur der die das den dem des ein eine und von mit im zu für el los las del y con por para que".split())
 COPIED, RUN = 0.8, 3
+#: Words of courtesy a refusal may hold beside the sentences that decline.
+BESIDE = 20
+#: Words that open or carry a clause: a short answer with one of them is no mere name or figure, so it must end like a sentence.
+_CLAUSE = set("shall must may will has have had is are was were by where when if every which that who whether unless exceeding referred guaranteed doit peut est sont wird werden ist sind hat debe puede es son".split())
+SHORT = 5
 
 
 def words(text: str) -> list[str]:
@@ -186,7 +191,7 @@ def breaks_off(answer: str) -> bool:
         return False
     if re.search(r"[,;:(\[{\-–—/&]$", text) or (len(seq) > 2 and seq[-1] in _DANGLING):
         return True
-    if cited or len(seq) <= 6 and len(lines) == 1:
+    if cited or len(seq) <= SHORT and len(lines) == 1 and not _CLAUSE & set(seq):
         return False
     if len(lines) > 1 and all(_MARKER.match(x) for x in lines) and all(re.search(r"[;,.]\s*(?:and|or|und|et|y|ou|o|oder)?\s*$", x) for x in lines[:-1]):
         # a list without a full stop: its last item is whole if it is no shorter than half of the shortest other one
@@ -212,7 +217,7 @@ def defect(question: str | None, answer: str | None, kind: str | None) -> str |
             return "echo"
     sentences = [s for s in _SENTENCE.split(core) if s.strip()]
     no = [s for s in sentences if declines(s)]
-    if no and sum(len(words(s)) for s in sentences if s not in no) <= 12 and len(seq) <= 60:
+    if no and sum(len(words(s)) for s in sentences if s not in no) <= BESIDE and len(seq) <= 60:
         return "truncated" if breaks_off(answer) and len(no) < len(sentences) else None if (kind or "").strip().lower() == "unanswerable" else "refusal"
     if question:
         asked, said = language(question), language(_QUOTED.sub(" ", core))
