@@ -9,11 +9,12 @@ def rows(spark, data):
 
 
 def test_wording(spark):
-    lines = ["Page 54 of 101", "PAGE 7 0f 9", "* Poge  3 of 101 |", "Print serial 19 - on1y", "print serial 7 only.", "12/34-56", "", None]
+    lines = ["Page 54 of 101", "PAGE 7 0f 9", "* Poge  3 of 101 |", "Print serial 19 - on1y", "print serial 7 only.", "12/34-56", "", None, "Issued on 5 March 2024", "issued on April 17, 2023", "Issued on 3rd Dec. 1999."]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "l string").select(B.wording(F.col("l"))).collect()]
     assert got[0] == got[1] == got[2] != ""
     assert got[3] == got[4] != ""
     assert got[5] == got[6] == "" and got[7] is None
+    assert got[8] == got[9] == got[10] == "issnedon"
 
 
 def test_found_and_removed_against_brute_force(spark):
