@@ -290,14 +290,17 @@ def most_similar(df: DataFrame, key: str, vec: str, order: str | None = None, as
     lists = lists or max(1, round(math.sqrt(count) / 10))
     probes = probes or (PROBES if floor >= 0.5 else max(8, -(-lists // 5)))
     want = min(FIT_ROWS, max(4096, 256 * lists))
-    share = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, 1.1 * want / count))
-    picked = rows.filter(share).select("vec", F.lit(False).alias("asks")).limit(want)
+    given = seen.filter(F.col("key").isNotNull()).count()
+    share = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, 1.1 * want / given))
 
     def units(batches):
         for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([u.tobytes() for u in unit_rows(b.column(0), dim)[1].astype(np.float16)], pa.binary())], ["vec"])
 
-    sample = np.frombuffer(b"".join(picked.mapInArrow(units, "vec binary").toArrow().column(0).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32) @ rotation(dim)
+    # a share of all rows, so its size does not depend on how many are copies; the same rows whatever their order
+    picked = rows.filter(share).select("vec").mapInArrow(units, "vec binary").toArrow().column(0).to_pylist()
+    picked = sorted(set(picked), key=_digest)[:want]
+    sample = np.frombuffer(b"".join(picked), np.float16).reshape(-1, dim).astype(np.float32) @ rotation(dim)
     if not len(sample):
         lists, sample = 1, np.eye(1, dim, dtype=np.float32)
     centroids = fit_centroids(sample, lists)
