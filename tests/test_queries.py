@@ -43,9 +43,16 @@ def test_same_as_sql(spark, sf, duck, name):
     assert bag(got) == bag(want)
 
 
+#: Queries whose feature may find nothing in the smallest tables.
+MAY_BE_EMPTY = {"repeated_stamps"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+    df = QUERIES[name](spark, sf)
+    rows = df.collect()
+    assert len(set(df.columns)) == len(df.columns)
+    assert rows or name in MAY_BE_EMPTY
 
 
 def test_every_oracle_has_a_query():
