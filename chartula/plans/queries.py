@@ -17,7 +17,7 @@ from ..operators import register as R
 from ..operators import search as S
 from ..sources import tables as K
 from ..streaming import events as V
-from .tables import current_chunks, latest, read, written
+from .tables import current_chunks, latest, read, spread, written
 
 PRICES = [("large", 2.5, 15.0), ("small", 0.75, 4.5)]
 CUT = "2018-01-01 00:00:00"
@@ -344,7 +344,7 @@ def seeded_sample(spark, d):
 
 def chunked_documents(spark, d):
     """The structural fold over the lines of every document."""
-    return C.chunk_items(C.text_items(read(spark, d, "documents"), "doc_id", "text"))
+    return C.chunk_items(C.text_items(spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text"))
 
 
 def repeated_stamps(spark, d):
