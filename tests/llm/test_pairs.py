@@ -42,3 +42,21 @@ def test_table(spark):
     assert got["a"].defect == "empty" and got["b"].defect is None and got["c"].defect is None and got["b"].extra == 2
     assert P.broken_pairs(df.limit(0)).count() == 0
     assert P.current_verdicts(df.unionByName(df)).count() == 3
+
+
+def test_held_out_answers():
+    """Recall and precision on answers that were written by hand for this test; the ones of a review must be right."""
+    from held_out import CASES, EN
+
+    got = [(P.defect(q, a, "simple"), want, a) for q, a, want in CASES]
+    found, true = sum(g is not None and g == w for g, w, _ in got), sum(w is not None for _, w, _ in got)
+    said = sum(g is not None for g, _, _ in got)
+    assert found / true >= 0.9 and found / said >= 0.95, [x for x in got if x[0] != x[1]]
+    for a in ("Loans to staff are not covered by the Direction.", "Auditors may not comment on the draft before it is issued.", "The fee is 5%", "The chief compliance officer of the branch office"):
+        assert P.defect(EN, a, "simple") is None
+
+
+def test_verdicts_are_computed_once(spark):
+    df = spark.createDataFrame([("a", "r", "simple", Q, "No.")], "id string, source_run string, type string, question string, system_answer string")
+    plan = P.broken_pairs(df).filter("defect is not null")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
