@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..plans.tables import small, written
 
 SHARES = (0.5, 0.7, 0.8, 0.9, 0.95)
-#: Ranks at which coverage is counted, half an octave apart; shares between two of them are interpolated.
-RANKS = [int(round(2 ** (k / 2))) for k in range(4, 34)]
+#: Coverage is counted in half octaves of ranks, from rank 4 on without an end; a share reached within one is interpolated.
+FIRST_STEP = 4
+#: Most frequent words that are broadcast; the others are joined by shuffle.
+HEAD_WORDS = 200_000
 QUARTILES = (0.25, 0.5, 0.75)
 #: Graded documents used for calibration, at most.
 FIT_ROWS = 5000
@@ -40,53 +42,67 @@ def tokens(text: Column) -> Column:
 def frequency_ranks(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, rank): how many words are at least as frequent in the corpus; equally frequent words share a rank.
 
-    The ranks come from a histogram of frequencies, of which there are few, so no global sort of the vocabulary is needed.
+    The ranks come from a histogram of frequencies, divided by octaves, so neither the vocabulary nor the histogram is sorted in one place.
     """
     counts = written(df.select(F.explode_outer(tokens(F.col(text))).alias("word")).filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    kinds = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    rank = small(written(kinds.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("rank"))))
-    return counts.join(rank, "n").select("word", "rank")
-
-
-def document_features(df: DataFrame, ranks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document that has words: tokens, sentences, coverage counts, word lengths and function-word shares. ``doc`` must be unique."""
-    sentences = F.regexp_count(F.col(text), F.lit(r"[.!?][\"'”’)\]]*(?:\s|$)"))
-    commas = F.length(text) - F.length(F.translate(F.col(text), ",;", ""))
-    lengths = F.array_sort(F.filter(F.transform(F.split(F.col(text), r"[.!?][\"'”’)\]]*\s+"), lambda s: F.regexp_count(s, F.lit(r"\S+"))), lambda n: n > 2))
-    # the counts are made before the explode, else they would be made again for every word; explode_outer, as explode adds a filter that tokenises twice
-    own = df.select(F.col(doc).alias("doc"), sentences.alias("sentences"), commas.alias("commas"), lengths.alias("lengths"), tokens(F.col(text)).alias("words"))
-    quartiles = F.when(F.size("lengths") > 0, F.array(*[F.get("lengths", F.floor(q * F.size("lengths")).cast("int")) for q in QUARTILES]))
-    long = own.select("doc", "sentences", "commas", quartiles.alias("lengths"), "words").select("doc", "sentences", "commas", "lengths", F.explode_outer("words").alias("word"))
-    # ranks beyond the last one counted are not needed, so what is broadcast has at most RANKS[-1] words whatever the corpus
-    vocabulary = ranks.filter(F.col("rank") <= RANKS[-1]).select("word", "rank", *[F.col("word").isin(ws).cast("int").alias(f"is_{k}") for k, ws in FUNCTION_WORDS.items()])
-    chars = F.length("word")
-    return long.filter(F.col("word").isNotNull()).join(F.broadcast(vocabulary), "word", "left").groupBy("doc", "sentences", "commas", "lengths").agg(
-        F.count(F.lit(1)).alias("tokens"), F.sum(chars).alias("chars"), F.sum((chars >= 9).cast("int")).alias("long_words"),
-        *[F.coalesce(F.sum(f"is_{k}"), F.lit(0)).alias(k) for k in FUNCTION_WORDS],
-        *[F.coalesce(F.sum((F.col("rank") <= r).cast("int")), F.lit(0)).alias(f"c{i}") for i, r in enumerate(RANKS)],
-    )
-
-
-def coverage_rank(share: float) -> Column:
-    """log2 of the smallest frequency-ranked vocabulary that covers ``share`` of the document's tokens, interpolated between ``RANKS``."""
-    need = F.col("tokens") * share
-    counts = F.array(*[F.col(f"c{i}") for i in range(len(RANKS))])
-    logs = F.array(*[F.lit(float(np.log2(r))) for r in [1, *RANKS]])
-    at = F.size(F.filter(counts, lambda c: c < need))  # counts rise, so this is the first rank that covers the share
-    low, high = F.get(logs, at), F.get(logs, at + 1)
-    before = F.when(at > 0, F.get(counts, at - 1)).otherwise(0)
-    part = (need - before) / F.greatest(F.get(counts, at) - before, F.lit(1))
-    return F.coalesce(low + (high - low) * part, F.lit(float(np.log2(RANKS[-1]) + 0.5)))
+    kinds = written(counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("octave", F.floor(F.log2("n")).cast("int")))
+    above = Window.orderBy(F.desc("octave")).rowsBetween(Window.unboundedPreceding, -1)  # at most 63 rows
+    octaves = kinds.groupBy("octave").agg(F.sum("words").alias("_all")).select("octave", F.coalesce(F.sum("_all").over(above), F.lit(0)).alias("_above"))
+    within = F.sum("words").over(Window.partitionBy("octave").orderBy(F.desc("n")))
+    ranks = kinds.withColumn("_within", within).join(F.broadcast(octaves), "octave").select("n", (F.col("_above") + F.col("_within")).alias("rank"))
+    return counts.join(small(written(ranks)), "n").select("word", "rank")
+
+
+def rank_step(rank: Column) -> Column:
+    """The half octave of a rank: the least k of at least ``FIRST_STEP`` with rank <= 2^(k/2)."""
+    return F.greatest(F.lit(FIRST_STEP), F.ceil(2 * F.log2(rank) - 1e-9).cast("int"))
+
+
+def document_features(df: DataFrame, ranks: DataFrame, doc: str = "doc_id", text: str = "text", head: int = HEAD_WORDS) -> DataFrame:
+    """One row per document that has words: tokens, sentences, word lengths, function-word counts, and ``cover<i>``, log2 of the smallest
+    frequency-ranked vocabulary that covers the i-th of ``SHARES`` of its tokens, interpolated within a half octave. ``doc`` must be unique.
+
+    The ``head`` most frequent words are broadcast. What is left, if there is more, is counted per document first and joined by shuffle: no word
+    of it is frequent, so no partition of the join is. Both ways give the same.
+    """
+    last = F.when(F.col(text).rlike(r"[.!?][\"'”’)\]]*\z"), 1).otherwise(0)
+    commas = F.length(text) - F.length(F.replace(F.replace(F.col(text), F.lit(","), F.lit("")), F.lit(";"), F.lit("")))
+    own = df.select(F.col(doc).alias("doc"), last.alias("last"), commas.alias("commas"), F.split(F.col(text), r"[.!?][\"'”’)\]]*\s+").alias("parts"), tokens(F.col(text)).alias("words"))
+    lengths = F.array_sort(F.filter(F.transform("parts", lambda s: F.regexp_count(s, F.lit(r"\S+"))), lambda n: n > 2))
+    # the counts are made before the explode, else they would be made again for every word; posexplode_outer, as posexplode adds a filter that tokenises twice
+    own = own.select("doc", (F.size("parts") - 1 + F.col("last")).alias("sentences"), "commas", lengths.alias("lengths"), "words")
+    quartiles = [F.when(F.size("lengths") > 0, F.get("lengths", F.floor(q * F.size("lengths")).cast("int"))).alias(f"q{i}") for i, q in enumerate(QUARTILES)]
+    facts = ["sentences", "commas", *[f"q{i}" for i in range(len(QUARTILES))]]
+    long = own.select("doc", "sentences", "commas", *quartiles, "words").select("doc", *facts, F.posexplode_outer("words").alias("pos", "word")).filter(F.col("word").isNotNull())
+
+    kinds = [F.col("word").isin(ws).cast("int").alias(f"is_{k}") for k, ws in FUNCTION_WORDS.items()]
+    known = F.broadcast(ranks.filter(F.col("rank") <= head).select("word", rank_step(F.col("rank")).alias("step"), F.length("word").alias("chars"), *kinds))  # at most ``head`` rows
+    first = [F.max(F.when(F.col("pos") == 0, F.col(c))).alias(c) for c in facts]
+    sums = {"n": F.lit(1), "chars": F.col("chars"), "long": (F.col("chars") >= 9).cast("int"), **{k: F.col(f"is_{k}") for k in FUNCTION_WORDS}}
+    rest = F.when(F.col("step").isNull(), F.col("word")).alias("rest")
+    part = long.join(known, "word", "left").groupBy("doc", "step", rest).agg(*[F.sum(v).cast("bigint").alias(k) for k, v in sums.items()], *first)
+    if ranks.filter(F.col("rank") > head).limit(1).count():
+        part = written(part)
+        tail = ranks.filter(F.col("rank") > head).select(F.col("word").alias("rest"), rank_step(F.col("rank")).alias("_step"))
+        far = part.filter("step is null").join(tail, "rest").withColumns({"step": F.col("_step"), "chars": F.col("n") * F.length("rest"), "long": F.when(F.length("rest") >= 9, F.col("n")).otherwise(0), **{k: F.when(F.col("rest").isin(ws), F.col("n")).otherwise(0) for k, ws in FUNCTION_WORDS.items()}})
+        part = part.filter("step is not null").unionByName(far.select(*part.columns))
+    per = part.groupBy("doc", "step").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in facts])
+    by = Window.partitionBy("doc")
+    seen, need = F.col("_seen"), [F.col("_all") * share for share in SHARES]
+    per = per.withColumns({"_seen": F.sum("n").over(by.orderBy("step")), "_all": F.sum("n").over(by)})
+    low = F.when(F.col("step") > FIRST_STEP, (F.col("step") - 1) / 2).otherwise(0.0)
+    reach = [F.max(F.when((seen >= x) & (seen - F.col("n") < x), low + (F.col("step") / 2 - low) * (x - (seen - F.col("n"))) / F.col("n"))).alias(f"cover{i}") for i, x in enumerate(need)]
+    return per.groupBy("doc").agg(F.sum("n").alias("tokens"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums if c != "n"], *[F.max(c).alias(c) for c in facts], *reach)
 
 
 def measures(features: DataFrame) -> DataFrame:
     """(doc, english, sentences, x1..): the features as numbers of like scale; x1 to x4 are the mean and quartiles of the sentence lengths, null if the text has no sentence ends."""
     english = (F.col("en") >= ENGLISH_SHARE * F.col("tokens")) & (F.col("en") > F.greatest("de", "fr", "es"))
     cols = [
-        *[F.when(F.col("sentences") > 0, F.log2(c)) for c in (F.col("tokens") / F.col("sentences"), *[F.get("lengths", i) for i in range(len(QUARTILES))])],
-        *[coverage_rank(s) for s in SHARES],
+        *[F.when(F.col("sentences") > 0, F.log2(c)) for c in (F.col("tokens") / F.col("sentences"), *[F.col(f"q{i}") for i in range(len(QUARTILES))])],
+        *[F.col(f"cover{i}") for i in range(len(SHARES))],
         F.col("chars") / F.col("tokens"),
-        F.log2(1 + 100 * F.col("long_words") / F.col("tokens")),
+        F.log2(1 + 100 * F.col("long") / F.col("tokens")),
         F.log2(1 + 100 * F.col("commas") / F.col("tokens")),
     ]
     return features.select("doc", "tokens", english.alias("english"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(cols, 1)])
@@ -124,7 +140,7 @@ def reading_levels(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     Calibrated on at most ``fit_rows`` graded documents, chosen by a hash of their id; all counts cover the whole corpus. Texts without
     sentence ends are judged by a second model that leaves the sentence length out.
     """
-    table = written(measures(document_features(df, frequency_ranks(df, text), doc, text)))
+    table = written(measures(document_features(df, written(frequency_ranks(df, text)), doc, text)))
     cols = [c for c in table.columns if c.startswith("x")]
     known = table.filter("english").join(small(written(graded(labels))), "doc").orderBy(F.xxhash64("doc")).limit(fit_rows)
     rows = known.select("level", *cols).toPandas()

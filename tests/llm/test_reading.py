@@ -48,7 +48,9 @@ def test_ranks_and_coverage_against_brute_force(spark):
     words = [w for _, t in docs for w in __import__("re").findall(r"[a-z]+", t.lower())]
     count = {w: words.count(w) for w in set(words)}
     assert ranks == {w: sum(1 for v in count.values() if v >= n) for w, n in count.items()}
-    f = R.document_features(d, R.frequency_ranks(d)).withColumn("c", R.coverage_rank(0.8))
+    f = R.document_features(d, R.frequency_ranks(d)).withColumn("c", F.col("cover2"))
+    tail = R.document_features(d, R.frequency_ranks(d), head=5).withColumn("c", F.col("cover2"))  # most words are joined by shuffle
+    assert sorted(map(tuple, tail.collect())) == sorted(map(tuple, f.collect()))
     for r in f.collect():
         own = sorted(ranks[w] for w in __import__("re").findall(r"[a-z]+", dict(docs)[r.doc].lower()))
         exact = own[int(np.ceil(0.8 * len(own))) - 1]
