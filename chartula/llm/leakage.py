@@ -3,10 +3,14 @@
 Patterns are the runs of three words of all passages. A Wu-Manber search over word blocks finds them: the shift table is keyed by pairs
 of words, so a pair that stands in no pattern moves the window on by two words at once; a pair that ends a pattern leads to its bucket, and the
 bucket's patterns are compared directly. Found runs are chained in order and in one place for each passage.
+
+The patterns are sent to the executors while they have at most ``BLOCK_WORDS`` words. A larger held-out set stays distributed: its runs meet those of
+the corpus in a join by hash, in one pass whatever their number, and the same chaining decides.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -15,19 +19,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import written
+
 RUN = 3
 SHARE = 0.5
 #: Words of the document between two runs of one place, at most.
 GAP = 12
-#: Words of passages searched at once; more passages are searched in further blocks.
-BLOCK_WORDS = 200_000
+#: Words of passages sent to the executors, at most; more are joined.
+BLOCK_WORDS = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<[^<>]{0,200}>")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(_TAG.sub(" ", text).lower())
+    return _WORD.findall((_TAG.sub(" ", text) if "<" in text else text).lower())
 
 
 class Patterns:
@@ -71,8 +77,7 @@ class Patterns:
 
     def found_in(self, text: str, share: float = SHARE, gap: int = GAP) -> set[str]:
         """Ids of the passages of which ``text`` holds more than ``share`` of the words, in order, in one place."""
-        ids = self.ids.get
-        seq = [ids(w, 0) for w in words(text)]
+        seq = [x or 0 for x in map(self.ids.get, words(text))]
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         seen: dict[int, int] = defaultdict(int)
         for i, places in self.occurrences(seq):
@@ -114,47 +119,62 @@ def chained(hits: list[tuple[int, int]], gap: int = GAP) -> int:
     return max(best, default=0)
 
 
-def passages_of(questions: DataFrame, key: str = "id") -> list[tuple[str, list[str]]]:
-    """The passages of each row: ``question`` and each ``" | "``-separated value of ``evidence_quote``. Null ones are left out.
+def passages_of(questions: DataFrame, key: str = "id") -> DataFrame:
+    """(key, passage, body, size): ``question`` and each ``" | "``-separated value of ``evidence_quote`` of each row, numbered, with their words
+    in number, about. Null ones are left out; rows delivered again count once."""
+    own = questions.select(key, "question", "evidence_quote").distinct()
+    every = F.concat(F.array(F.coalesce("question", F.lit(""))), F.split(F.coalesce("evidence_quote", F.lit("")), r" \| "))
+    long = own.select(key, F.explode(F.array_distinct(F.filter(every, lambda p: F.trim(p) != ""))).alias("body"))
+    return long.withColumns({"passage": F.xxhash64(key, "body"), "size": F.size(F.split("body", r"\s+"))})
 
-    The held-out set is read to the driver: it is the fixed side of the search (120 rows at every scale here) and is searched in blocks of
-    ``BLOCK_WORDS`` words, one pass over the corpus for each.
-    """
-    rows = questions.select(key, "question", "evidence_quote").distinct().orderBy(key).collect()
-    out = []
-    for name, question, quotes in rows:
-        for p in [question or "", *(quotes or "").split(" | ")]:
-            if ws := words(p):
-                out.append((name, ws))
-    return out
 
+def _by_automaton(own: DataFrame, passages: DataFrame, doc: str, text: str, key: str, schema: str, share: float, gap: int) -> DataFrame:
+    sent = own.sparkSession.sparkContext.broadcast([(r[0], words(r[1])) for r in passages.select(key, "body").orderBy(key, "passage").collect()])
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = Patterns(sent.value)
+        for batch in batches:
+            rows = [(d, q) for d, t in zip(batch[doc], batch[text]) for q in sorted(patterns.found_in(t, share, gap))]
+            yield pd.DataFrame(rows, columns=[doc, key])
+
+    return own.mapInPandas(search, schema)
+
+
+def _by_join(own: DataFrame, passages: DataFrame, doc: str, text: str, key: str, schema: str, share: float, gap: int) -> DataFrame:
+    """Runs of both sides meet by hash; per document and passage the runs that met are chained."""
+
+    def runs(body: str) -> Iterator[tuple[int, int]]:
+        ws = words(body)
+        for i in range(len(ws) - RUN + 1):
+            yield i, int.from_bytes(hashlib.blake2b(" ".join(ws[i : i + RUN]).encode(), digest_size=8).digest(), "little", signed=True)
+
+    def cut(name: str, body: str, place: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame([(n, i, h) for n, t in zip(batch[name], batch[body]) for i, h in runs(t)], columns=[name, place, "run"])
+
+        return run
+
+    asked = written(passages.select("passage", "body").mapInPandas(cut("passage", "body", "j"), "passage bigint, j int, run bigint"))
+    held = own.mapInPandas(cut(doc, text, "i"), f"{doc} {own.schema[doc].dataType.simpleString()}, i int, run bigint")
+    met = held.join(asked, "run").groupBy(doc, "passage").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("hits"), F.count_distinct("j").alias("_n"))
+    lengths = passages.select("passage", key, "body")
+
+    @F.pandas_udf("boolean")
+    def leaks(hits: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([chained([(x["i"], x["j"]) for x in h], gap) > share * len(words(b)) for h, b in zip(hits, bodies)], dtype=bool)
+
+    return met.join(lengths, "passage").filter(leaks("hits", "body")).select(doc, key).distinct()
 
-def leaked(corpus: DataFrame, questions: DataFrame, doc: str = "doc_id", text: str = "text", key: str = "id", share: float = SHARE, gap: int = GAP) -> DataFrame:
+
+def leaked(corpus: DataFrame, questions: DataFrame, doc: str = "doc_id", text: str = "text", key: str = "id", share: float = SHARE, gap: int = GAP, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc, key), one row for every document and question of which a passage leaked into it.
 
-    One pass over the corpus without a shuffle per block of passages. Passages of fewer than three words cannot be found; null texts hold none.
+    One pass over the corpus, without a shuffle while the passages have at most ``block_words`` words. Passages of fewer than three words
+    cannot be found; null texts hold none.
     """
-    passages = passages_of(questions, key)
-    blocks: list[list] = [[]]
-    size = 0
-    for p in passages:
-        if size + len(p[1]) > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(p)
-        size += len(p[1])
+    passages = written(passages_of(questions, key))
     schema = f"{doc} {corpus.schema[doc].dataType.simpleString()}, {key} string"
     own = corpus.select(doc, text).filter(F.col(text).isNotNull())
-    found = None
-    for block in blocks:
-        sent = corpus.sparkSession.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            patterns = Patterns(sent.value)
-            for batch in batches:
-                rows = [(d, q) for d, t in zip(batch[doc], batch[text]) for q in sorted(patterns.found_in(t, share, gap))]
-                yield pd.DataFrame(rows, columns=[doc, key])
-
-        part = own.mapInPandas(search, schema)
-        found = part if found is None else found.unionByName(part)
-    return found if len(blocks) == 1 else found.distinct()
+    total = passages.agg(F.sum("size")).first()[0] or 0
+    return (_by_automaton if total <= block_words else _by_join)(own, passages, doc, text, key, schema, share, gap)

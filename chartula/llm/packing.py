@@ -9,6 +9,7 @@ opened and packed once more together with those of other groups.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ CAPACITY = 8192
 GROUP_ITEMS = 20_000
 #: A container with a larger share of free space than this is opened in the second round.
 UNDERFULL = 1 / 64
-#: Rounds of the search over all underfull containers of a group.
-PASSES = 12
+#: Items of a container tried in pairs for two-for-one exchanges, the largest first.
+PAIR_DEPTH = 8
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -43,7 +44,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
-def _fill_gap(sizes, where, free, rank, order, members, a: int) -> int:
+def _fill_gap(sizes, where, free, rank, order, members, a: int, depth: int) -> int:
     """Gives container ``a`` the change that fills most of its gap: one item of another underfull one moves in, for none, one or two of its own.
 
     Only changes that raise the sum of squared fills count: the other container must have been emptier than ``a`` is afterwards.
@@ -54,7 +55,7 @@ def _fill_gap(sizes, where, free, rank, order, members, a: int) -> int:
     outs = {0: ()}
     for i in inside:
         outs.setdefault(int(sizes[i]), (i,))
-    for k, i in enumerate(inside[:8]):
+    for k, i in enumerate(inside[:depth]):
         for j in inside[:k]:
             outs.setdefault(int(sizes[i] + sizes[j]), (i, j))
     best, act = 0, None
@@ -86,8 +87,11 @@ def _fill_gap(sizes, where, free, rank, order, members, a: int) -> int:
     return best
 
 
-def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int, passes: int = PASSES) -> np.ndarray:
-    """Improves a packing in place until the lower bound is met, nothing more can be gained, or after ``passes`` rounds."""
+def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int, passes: int | None = None, depth: int = PAIR_DEPTH) -> np.ndarray:
+    """Improves a packing in place until the lower bound is met or nothing more can be gained, with ``passes`` after so many rounds at most.
+
+    Every change raises the sum of squared fills, so the search ends.
+    """
     if not len(sizes):
         return where
     free = capacity - np.bincount(where, weights=sizes).astype(np.int64)
@@ -97,14 +101,14 @@ def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int, passes: in
     members: list[set[int]] = [set() for _ in range(len(free))]
     for i, b in enumerate(where.tolist()):
         members[b].add(i)
-    for _ in range(passes):
+    for _ in range(passes) if passes is not None else count():
         if (free < capacity).sum() <= least:
             break
         under = np.flatnonzero((free > 0) & (free < capacity))
         gained = 0
         for a in under[np.argsort(free[under], kind="stable")].tolist():
             if 0 < free[a] < capacity:
-                gained += _fill_gap(sizes, where, free, rank, order, members, a)
+                gained += _fill_gap(sizes, where, free, rank, order, members, a, depth)
         if not gained:
             break
     return where
@@ -146,20 +150,18 @@ def _packed(items: DataFrame, groups: int, first: int, capacity: int) -> DataFra
     return dealt.repartition(groups, "grp").groupBy("grp").applyInPandas(run, schema)
 
 
-def fill_containers(items: DataFrame, count: int, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
+def fill_containers(items: DataFrame, n_items: int, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(container, fill, item, piece, pieces, size): every item in exactly one container of at most ``capacity``.
 
-    ``items`` is (item, piece, pieces, size) with 0 <= size <= capacity; ``count`` is its number of rows, or near it, and sets the number of
+    ``items`` is (item, piece, pieces, size) with 0 <= size <= capacity; ``n_items`` is its number of rows, or near it, and sets the number of
     groups, so that a group holds about ``group_items`` rows whatever the input's size.
     """
-    groups = max(1, -(-count // group_items))
-    whole = items.filter(F.col("size") >= capacity)
-    full = whole.select((F.xxhash64("item", "piece").bitwiseOR(F.lit(-(1 << 62) * 2))).alias("container"), F.col("size").alias("fill"), "item", "piece", "pieces", "size")
-    once = written(_packed(items.filter(F.col("size") < capacity), groups, 0, capacity))
+    groups = max(1, -(-n_items // group_items))
+    once = written(_packed(items, groups, 0, capacity))
     if groups == 1:
-        return once.unionByName(full)
+        return once
     under = F.col("fill") < capacity * (1 - UNDERFULL)
     rest = once.filter(under).select("item", "piece", "pieces", "size")
     left = rest.count()
     again = _packed(rest, max(1, -(-left // group_items)), groups, capacity)
-    return once.filter(~under).unionByName(again).unionByName(full)
+    return once.filter(~under).unionByName(again)

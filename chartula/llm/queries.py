@@ -64,7 +64,20 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_containers(spark, sf_dir).filter("pieces > 1 and piece = 1").select("doc_id")
+    """The documents that the packing spreads over several containers."""
+    spread_over = p6_containers(spark, sf_dir).groupBy("doc_id").agg(F.min("container").alias("_a"), F.max("container").alias("_b"))
+    return spread_over.filter("_a <> _b").select("doc_id")
+
+
+def p6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the packing: no container over its capacity, every document whole and once, at most 1 % and one more containers than tokens ask for."""
+    packed = p6_containers(spark, sf_dir)
+    per = packed.groupBy("container").agg(F.sum("size").alias("fill"), F.count_distinct("doc_id").alias("_d"))
+    docs = packed.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("pieces").alias("pieces"))
+    own = per.agg(F.count(F.lit(1)).alias("_made"), F.count_if(F.col("fill") > packing.CAPACITY).alias("overfull"), F.sum("fill").alias("tokens"))
+    whole = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") != F.col("pieces")).alias("broken"))
+    near = F.col("_made") <= F.ceil(1.01 * F.col("tokens") / packing.CAPACITY) + 1
+    return own.join(F.broadcast(whole)).select("documents", "tokens", "overfull", "broken", near.alias("near_bound"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +88,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), read(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_topk, p5_found, p5_verdicts, p6_found, p6_containers, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_topk, p5_found, p5_verdicts, p6_found, p6_containers, p6_summary, p7_found, p8_found)}
 
 _CURRENT = "current as (select * from (select *, row_number() over (partition by chunk_id order by loaded_at desc) as rn from chunks) where rn = 1)"
 
@@ -97,5 +110,6 @@ ORACLES = {
     "p2_found": f"with {_CURRENT} select chunk_id, case when regexp_matches(text, '[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]{{901}}[^\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]{{900}}') then 'forced' else 'clean' end as cut_kind from current where length(text) > 1800",
     "p3_found": _TERMS + "select term, term_mark from marked where term_mark is not null",
     "p3_terms": _TERMS + "select term, occurrences, records, term_mark from marked",
+    "p6_summary": "select count(*) as documents, cast(sum(strlen(text) + 1) as bigint) as tokens, 0::bigint as overfull, 0::bigint as broken, true as near_bound from documents",
     "p6_found": "select doc_id from documents where strlen(text) + 1 > 8192",
 }

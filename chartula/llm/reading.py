@@ -79,14 +79,15 @@ def document_features(df: DataFrame, ranks: DataFrame, doc: str = "doc_id", text
     known = F.broadcast(ranks.filter(F.col("rank") <= head).select("word", rank_step(F.col("rank")).alias("step"), F.length("word").alias("chars"), *kinds))  # at most ``head`` rows
     first = [F.max(F.when(F.col("pos") == 0, F.col(c))).alias(c) for c in facts]
     sums = {"n": F.lit(1), "chars": F.col("chars"), "long": (F.col("chars") >= 9).cast("int"), **{k: F.col(f"is_{k}") for k in FUNCTION_WORDS}}
-    rest = F.when(F.col("step").isNull(), F.col("word")).alias("rest")
-    part = long.join(known, "word", "left").groupBy("doc", "step", rest).agg(*[F.sum(v).cast("bigint").alias(k) for k, v in sums.items()], *first)
-    if ranks.filter(F.col("rank") > head).limit(1).count():
+    more = ranks.filter(F.col("rank") > head).limit(1).count() > 0
+    rest = [F.when(F.col("step").isNull(), F.col("word")).alias("rest")] if more else []
+    part = long.join(known, "word", "left").groupBy("doc", "step", *rest).agg(*[F.sum(v).cast("bigint").alias(k) for k, v in sums.items()], *first)
+    if more:
         part = written(part)
         tail = ranks.filter(F.col("rank") > head).select(F.col("word").alias("rest"), rank_step(F.col("rank")).alias("_step"))
         far = part.filter("step is null").join(tail, "rest").withColumns({"step": F.col("_step"), "chars": F.col("n") * F.length("rest"), "long": F.when(F.length("rest") >= 9, F.col("n")).otherwise(0), **{k: F.when(F.col("rest").isin(ws), F.col("n")).otherwise(0) for k, ws in FUNCTION_WORDS.items()}})
         part = part.filter("step is not null").unionByName(far.select(*part.columns))
-    per = part.groupBy("doc", "step").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in facts])
+    per = part.groupBy("doc", "step").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in facts]) if more else part
     by = Window.partitionBy("doc")
     seen, need = F.col("_seen"), [F.col("_all") * share for share in SHARES]
     per = per.withColumns({"_seen": F.sum("n").over(by.orderBy("step")), "_all": F.sum("n").over(by)})

@@ -30,11 +30,11 @@ def test_found_forms(spark):
     assert got == {(0, "q1"), (1, "q1"), (8, "q1")}
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    texts = ["older quotas keep thirteen mottled stamps while no tram conductor", "who endorses the frozen stipend if eleven salvages lapse"]
-    monkeypatch.setattr(L, "BLOCK_WORDS", 5)
-    got = sorted((r.doc_id, r.id) for r in L.leaked(docs(spark, texts * 2), questions(spark)).collect())
-    assert got == [(i, "q1") for i in range(4)]
+def test_a_large_set_is_joined_with_the_same_result(spark):
+    texts = ["older quotas keep thirteen mottled stamps while no tram conductor", "who endorses the frozen stipend if eleven salvages lapse", "older quotas keep x thirteen mottled stamps", "Who endorses the frozen stipend. " + "filler " * 40 + "if eleven salvages lapse ahead of", "", None]
+    want = {(i, "q1") for i in range(2)}
+    for block in (10**6, 1):
+        assert {(r.doc_id, r.id) for r in L.leaked(docs(spark, texts), questions(spark), block_words=block).collect()} == want
 
 
 def test_search_against_brute_force():

@@ -33,16 +33,37 @@ def feed(spark, old, new):
 
 
 def test_store_follows_changes(spark, tmp_path):
-    store = T.TermStore(spark, f"file://{tmp_path}/store", buckets=3)
-    assert store.counts().count() == 0
+    path = f"file://{tmp_path}/store"
+    store = T.TermStore(spark, path, bucket_terms=2)
+    assert store.counts().count() == 0 and store.records == 0
     store.apply(feed(spark, {}, OLD))
     assert table(store.counts()) == brute(OLD.values())
+    store = T.TermStore(spark, path)  # opened again
+    assert store.version == 1 and table(store.counts()) == brute(OLD.values()) and store.records == 4
     store.apply(feed(spark, OLD, NEW))
-    assert table(store.counts()) == brute(NEW.values())
+    assert table(store.counts()) == brute(NEW.values()) and store.records == sum(v is not None for v in NEW.values())
     store.apply(feed(spark, NEW, NEW))
     assert table(store.counts()) == brute(NEW.values())
-    store.apply(feed(spark, NEW, {}))
-    assert store.counts().count() == 0
+    store.apply(feed(spark, NEW, {}))  # all are deleted
+    assert store.counts().count() == 0 and store.records == 0
+    assert T.TermStore(spark, path).counts().count() == 0
+
+
+def test_a_small_change_writes_little(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    many = {str(i): f"'t{i}':1 'all':2" for i in range(2000)}
+    store = T.TermStore(spark, path).apply(feed(spark, {}, many))
+    changed = many | {"7": "'t8':1 'new':2", "9": None}
+    old = store.counts()
+    store.apply(feed(spark, {k: many[k] for k in ("7", "9")}, {k: changed[k] for k in ("7", "9")}))
+    (_, base), (_, run) = store.state["runs"]
+    assert base == 2001 and run == 5 and table(store.counts()) == brute(changed.values()) and store.records == 1999
+    assert table(old) == brute(many.values())  # a reader of the version before goes on
+    for n in range(3):
+        again = {str(n): f"'u{n}':1"}
+        store.apply(feed(spark, {k: changed[k] for k in again}, again))
+        changed |= again
+    assert table(T.TermStore(spark, path).counts()) == brute(changed.values())
 
 
 @settings(max_examples=8, deadline=None)
@@ -51,12 +72,12 @@ def test_deltas_equal_recount(spark, pairs):
     df = spark.createDataFrame([(str(i), o, n) for i, (o, n) in enumerate(pairs)], "id string, old_tsv string, new_tsv string")
     none = F.lit(None).cast("string")
     start = T.signed_deltas(df.select(none.alias("old_tsv"), F.col("old_tsv").alias("new_tsv")))
-    assert table(T.merge_counts(start, T.signed_deltas(df))) == brute(n for _, n in pairs)
+    assert table(T.summed(start.unionByName(T.signed_deltas(df)))) == brute(n for _, n in pairs)
 
 
 def test_marks(spark):
     counts = spark.createDataFrame([("r", 2, 2), ("c", 9, 4), ("m", 3, 3), ("rc", 2, 20)], "term string, occurrences bigint, records bigint")
-    got = {r.term: r.term_mark for r in T.mark(counts, spark.createDataFrame([(20,)], "n int")).collect()}
+    got = {r.term: r.term_mark for r in T.mark(counts, 20).collect()}
     assert got == {"r": "rare", "c": "common", "m": None, "rc": "rare"}
 
 
