@@ -55,22 +55,57 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a local one."""
+    """A new folder below ``spark.checkpoint.dir``. Only where that is unset and the session runs in one process (tests) a local one is made;
+    on a cluster a machine's own folder would be lost with it, so there an unset folder is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="chartula-")
         if not kept.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chartula-"))
+            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = kept.get()
     path = f"{base.rstrip('/')}/chartula/{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if it does not exist."""
+    p, fs = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, complete as soon as it can be seen: written beside its place and renamed."""
+    p, fs = _file_system(spark, path)
+    beside, _ = _file_system(spark, f"{p.getParent()}/_{p.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(text.encode())
+    out.close()
+    fs.delete(p, False)
+    if not fs.rename(beside, p):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 @atexit.register
