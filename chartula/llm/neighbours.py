@@ -30,8 +30,8 @@ K = 5
 LIST_ROWS, COARSE = 4096, 1024
 #: Classes the centroids are fitted on, at most, and those of them whose neighbours are looked at to choose the number of probes.
 FIT_ROWS, TRIAL_ROWS = 32_768, 512
-#: Share of the true neighbours in the sample that the probed lists must hold, and lists tried for it.
-RECALL, MOST_PROBES = 0.97, 256
+#: Share of the true neighbours in the sample that the probed lists must hold, and lists probed at least (a border is always near) and at most.
+RECALL, LEAST_PROBES, MOST_PROBES = 0.98, 3, 256
 #: Vectors of a list held in memory at once; longer lists are divided, and their visitors look into each part.
 PART_ROWS = 40_000
 #: A class of more members than this is divided when its result is expanded.
@@ -117,18 +117,23 @@ class Index:
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, count: int) -> Index:
-        """Fitted on unit vectors, for ``count`` vectors in about ``lists`` lists."""
+        """Fitted on unit vectors without those of the trial, for ``count`` vectors in about ``lists`` lists."""
+        every, sample = sample, sample[np.arange(len(sample)) % cls.step(len(sample)) > 0] if len(sample) > 2 * lists + TRIAL_ROWS else sample
         coarse = k_means(sample, min(lists, COARSE), True)
         deeper = -(-lists // COARSE)
         fine = np.zeros((1, sample.shape[1]), np.float32)
         if deeper > 1:
             fine = k_means(sample - coarse[(sample @ coarse.T).argmax(1)], deeper, False)
         index = cls(coarse, fine, np.ones(len(coarse) * len(fine), np.int64))
-        home = index.nearest(sample, 1)[0]
-        share = np.bincount(home, minlength=len(index.parts)) / len(sample)
+        home = index.nearest(every, 1)[0]
+        share = np.bincount(home, minlength=len(index.parts)) / len(every)
         index.parts = np.maximum(1, np.ceil(share * count / PART_ROWS)).astype(np.int64)
         return index
 
+    @staticmethod
+    def step(rows: int) -> int:
+        return max(1, rows // TRIAL_ROWS)
+
     def nearest(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(home, the ``n`` nearest lists in order) of each vector."""
         m, lists, deep = len(x), len(self.coarse), len(self.fine)
@@ -152,7 +157,7 @@ class Index:
         """The least number of lists that holds ``recall`` of the true neighbours, with a cosine of at least ``floor``, of a part of the sample
         within the sample. Without such neighbours those of lesser cosines count. As the sample is thinner than the whole, its neighbours lie
         farther off, and the number is rather too great."""
-        trial = sample[:: max(1, len(sample) // TRIAL_ROWS)][:TRIAL_ROWS]
+        trial = sample[:: self.step(len(sample))]
         s = trial @ sample.T
         s[s > 1 - 1e-6] = -2  # the vector itself
         n = min(k, s.shape[1])
@@ -164,7 +169,7 @@ class Index:
         home = self.nearest(sample, 1)[0]
         order = self.nearest(trial, min(MOST_PROBES, len(self.parts)))[1]
         place = np.stack([(order[:, None, :] == home[near][:, :, None]).argmax(2), np.where((order[:, None, :] == home[near][:, :, None]).any(2), 0, order.shape[1])]).max(0)[counts]
-        return min(int(np.sort(place)[min(len(place) - 1, math.ceil(recall * len(place)) - 1)]) + 1, order.shape[1])
+        return min(max(LEAST_PROBES, int(np.sort(place)[min(len(place) - 1, math.ceil(recall * len(place)) - 1)]) + 1), order.shape[1])
 
 
 def _top(q: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

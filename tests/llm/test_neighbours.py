@@ -75,3 +75,28 @@ def test_asking_subset_and_empty(spark):
     assert {i for i, _ in pairs} == set(range(20)) and len(pairs & want) >= 0.9 * 100
     assert N.most_similar(rows(spark, []), "id", "embedding").count() == 0
     assert N.most_similar(rows(spark, [[0.0] * 4]), "id", "embedding").count() == 0
+
+
+def test_two_levels_of_centroids(spark, monkeypatch):
+    """Beyond the first level's centroids the shared residuals divide each list; lists are left out, and few neighbours are lost."""
+    monkeypatch.setattr(N, "COARSE", 5)
+    x = clustered(3000, 32, 9)
+    made = []
+    fit = N.Index.fit.__func__
+    monkeypatch.setattr(N.Index, "fit", classmethod(lambda cls, *a: made.append(fit(cls, *a)) or made[0]))
+    got = N.most_similar(rows(spark, x), "id", "embedding", "loaded_at", lists=20).collect()
+    want, _ = exact(x)
+    pairs = {(int(r.id[1:]), int(r.other[1:])) for r in got}
+    assert len(made[0].coarse) == 5 and len(made[0].fine) == 4 and len(made[0].parts) == 20
+    assert made[0].probes < 20 and len(pairs & want) / len(want) >= 0.9
+
+
+def test_home_is_the_nearest_list():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((500, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = N.Index(N.k_means(x, 6, True), 0.3 * r.standard_normal((3, 16)).astype(np.float32), np.ones(18, np.int64))
+    home, near = index.nearest(x, 18)
+    every = (index.coarse[:, None, :] + index.fine[None, :, :]).reshape(18, 16)
+    assert (np.argsort(((x[:, None, :] - every) ** 2).sum(2), axis=1)[:, 0] == near[:, 0]).all()
+    assert all(sorted(row) == list(range(18)) for row in near.tolist()) and (home // 3 == (x @ index.coarse.T).argmax(1)).all()
