@@ -29,7 +29,7 @@ K = 5
 #: Vectors a list should hold, and centroids of the first level at most; with more lists a second level of residuals divides each.
 LIST_ROWS, COARSE = 4096, 1024
 #: Classes the centroids are fitted on, at most, and those of them whose neighbours are looked at to choose the number of probes.
-FIT_ROWS, TRIAL_ROWS = 32_768, 512
+FIT_ROWS, FIT_PER_LIST, TRIAL_ROWS = 16_384, 64, 512
 #: Share of the true neighbours in the sample that the probed lists must hold, and lists probed at least (a border is always near) and at most.
 RECALL, LEAST_PROBES, MOST_PROBES = 0.98, 3, 256
 #: Vectors of a list held in memory at once; longer lists are divided, and their visitors look into each part.
@@ -361,7 +361,8 @@ def most_similar(df: DataFrame, key: str, vec: str, order: str | None = None, as
     dead = written(seen.filter(F.col("key").isNotNull()).select("key").distinct().join(live, "key", "left_anti"))
 
     lists = lists or max(1, -(-count // LIST_ROWS))
-    share = min(1.0, 1.1 * FIT_ROWS / count)
+    want = min(FIT_ROWS, max(8192, FIT_PER_LIST * lists))
+    share = min(1.0, 1.1 * want / count)
 
     def units(batches):
         """The classes of a share of all keys, each once a task: how many copies a class has makes no difference."""
@@ -375,9 +376,10 @@ def most_similar(df: DataFrame, key: str, vec: str, order: str | None = None, as
                     fresh[key] = unit[i].astype(np.float16).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.binary())], ["key", "vec"])
 
-    # the same classes whatever the order of the rows, about FIT_ROWS of them
-    picked = rows.select("vec").mapInArrow(units, "key binary, vec binary").groupBy("key").agg(F.min("vec").alias("vec")).orderBy("key").limit(FIT_ROWS).select("vec").toArrow().column(0).to_pylist()
-    sample = np.frombuffer(b"".join(picked), np.float16).reshape(-1, dim).astype(np.float32) @ rotation(dim)
+    # the same classes whatever the order of the rows
+    picked = rows.select("vec").mapInArrow(units, "key binary, vec binary").groupBy("key").agg(F.min("vec").alias("vec")).orderBy("key").limit(want).select("vec").toArrow().column(0).to_pylist()
+    sample = np.concatenate([np.frombuffer(b"".join(picked[i : i + 1024]), np.float16).reshape(-1, dim).astype(np.float32) @ rotation(dim) for i in range(0, len(picked), 1024)] or [np.zeros((0, dim), np.float32)])
+    del picked
     if not len(sample):
         sample = np.eye(1, dim, dtype=np.float32)
     index = Index.fit(sample, lists, count)
