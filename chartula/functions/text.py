@@ -13,10 +13,22 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 from .stemmer import stem_word
 
 #: Question words dropped before a keyword search.
-QUESTION_WORDS = (
-    "how often what which when where who whom whose why whether must can could shall should would will may might need needs "
-    "required require does do did is are was were be been has have any many much there still now also please tell explain list"
-).split()
+QUESTION_WORDS = [
+    "how", "often", "what", "which", "when", "where", "who", "whom", "whose", "why", "whether", "must", "can", "could", "shall", "should", "would", "will", "may", "might", "need", "needs",
+    "required", "require", "does", "do", "did", "is", "are", "was", "were", "be", "been", "has", "have", "any", "many", "much", "there", "still", "now", "also", "please", "tell", "explain", "list",
+]
+#: Stop words of the published English Snowball list.
+STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having",
+    "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during",
+    "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any",
+    "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+]
+#: Weights of the letters of positions in a search vector; a position without a letter weighs as D.
+POSITION_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+#: One lexeme of a search vector written as text: quoted, quotes doubled, with positions or without.
+LEXEME = r"'([^']*+(?:''[^']*+)*+)'(?::([0-9]+[A-D]?(?:,[0-9]+[A-D]?)*))?"
 #: Number words and multipliers.
 NUMBER_WORDS = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
@@ -82,6 +94,28 @@ def query_words(c: Column) -> Column:
     return F.array_distinct(F.filter(words(c), lambda w: ~w.isin(QUESTION_WORDS) & ((F.length(w) > 1) | w.rlike(r"^\d$"))))
 
 
+def query_stems(c: Column) -> Column:
+    """Distinct stems of the words of a query without question words and stop words, in the same way as stored lexemes are made; single characters
+    only if they are digits."""
+    kept = F.filter(F.flatten(F.transform(words(c), lambda w: F.when(w.contains("-"), F.concat(F.array(w), F.split(w, "-"))).otherwise(F.array(w)))), lambda w: (w != "") & ~w.isin(QUESTION_WORDS) & ~w.isin(STOP_WORDS))
+    return F.array_distinct(F.filter(stems(kept), lambda w: (F.length(w) > 1) | w.rlike(r"^\d$")))
+
+
+def lexemes(tsv: Column) -> Column:
+    """array<struct<lexeme, weight, first>> of a search vector written as text; null gives null.
+
+    ``weight`` is the sum of the weights of its positions, 0 for a lexeme without positions. A lexeme listed twice is ``first`` once.
+    """
+    names = F.transform(F.regexp_extract_all(tsv, F.lit(LEXEME), F.lit(1)), lambda t: F.replace(t, F.lit("''"), F.lit("'")))
+    marked = lambda p, k: F.length(p) - F.length(F.replace(p, F.lit(k), F.lit("")))
+    places = lambda p: F.when(p == "", 0).otherwise(F.length(p) - F.length(F.replace(p, F.lit(","), F.lit(""))) + 1)
+    extra = lambda p: sum(((w - POSITION_WEIGHTS["D"]) * marked(p, k) for k, w in POSITION_WEIGHTS.items() if k != "D"), F.lit(0.0))
+    weights = F.transform(F.regexp_extract_all(tsv, F.lit(LEXEME), F.lit(2)), lambda p: F.when(p.rlike("[ABC]"), POSITION_WEIGHTS["D"] * places(p) + extra(p)).otherwise(POSITION_WEIGHTS["D"] * places(p)))
+    once = F.size(F.array_distinct(names)) == F.size(names)
+    first = F.when(once, F.transform(names, lambda _: F.lit(True))).otherwise(F.transform(names, lambda t, i: F.array_position(names, t) == i + 1))
+    return F.transform(F.arrays_zip(names.alias("n"), weights.alias("w"), first.alias("f")), lambda x: F.struct(x["n"].alias("lexeme"), F.round(x["w"], 6).alias("weight"), x["f"].alias("first")))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def stems(lists: pd.Series) -> pd.Series:
     return lists.map(lambda ws: None if ws is None else list(dict.fromkeys(stem_word(w) for w in ws)))
@@ -147,14 +181,17 @@ def embed_text() -> Column:
 #: Closing lines without a rule, placeholders of deleted paragraphs, circular references.
 CLOSING = r"(?i)requested to (?:ensure|note)\b|ensure strict compliance|strict compliance of this|acknowledge (?:the )?receipt|yours faithfully|for (?:your )?information and (?:necessary|appropriate) action"
 DELETED = r"(?i)^(?:\d{1,3}[A-Z]?\.\s*)?(?:\d{1,3}\s*)?\[?\s*(?:Deleted|\*+)\s*\]?\.?\s*(?:\d{1,3})?$"
-CIRCULAR = r"\d{2}\.\d{2}\.\d{2,3}/\d{4}-\d{2}|[A-Z]{3}/\d{4}-\d{2}/\d+"
+CIRCULAR_NUMBER = r"\d{2}\.\d{2}\.\d{2,3}/\d{4}-\d{2}"
+#: Prefix of the issuer's own numbers.
+ISSUER = "RBI"
 CIRCULAR_ROW = r"^\s*\d{1,3}\.\s*\|.*\|\s*(?:[A-Z][a-z]+\s+\d{1,2}\s*,\s*\d{4}|\d{2}\.\d{2}\.\d{4})\b"
 
 
-def is_circular_list(text: Column) -> Column:
-    """At least three lines, at least half of them rows of a list of circulars."""
+def is_circular_list(text: Column, issuer: str = ISSUER) -> Column:
+    """At least three lines, at least half of them rows of a list of circulars: with a circular's number, or with one that starts with ``issuer``."""
+    number = rf"{CIRCULAR_NUMBER}|{issuer}/\d{{4}}-\d{{2}}/\d+"
     lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: (F.trim(x) != "") & ~x.startswith("["))
-    rows = F.filter(lines, lambda x: x.rlike(CIRCULAR) | x.rlike(CIRCULAR_ROW))
+    rows = F.filter(lines, lambda x: x.rlike(number) | x.rlike(CIRCULAR_ROW))
     return (F.size(lines) >= 3) & (F.size(rows) * 2 >= F.size(lines))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,14 @@ KS = (1, 3, 5, 10)
 
 # ---- expected places ---------------------------------------------------------------------------------
 
+#: How places are written.
+ANNEX_PLACE = r"\b(?:Annex(?:ure)?|Appendix)\s*[-–]?\s*([IVX]+|\d+)\b"
+PARAS_PLACE = r"\bparas?\s*(\d+)\s*[-–]\s*(\d+)\b"
+PARA_PLACE = r"\bpara\s*(\d+[A-Z]?)\b"
+PART_PLACE = r"\b(Part\s+\w+)"
+DOCUMENT_NAME = r"\.(?:pdf|html)$"
+
+
 def parse_targets(questions: DataFrame) -> DataFrame:
     """(id, type, n, doc, region, paras, section_contains, parsed) of each expected place of a question.
 
@@ -28,14 +38,14 @@ def parse_targets(questions: DataFrame) -> DataFrame:
     q = q.withColumn("_s", sections).select("id", "type", F.posexplode(F.arrays_zip("_d", "_s")).alias("n", "x"))
     q = q.select("id", "type", (F.col("n") + 1).alias("n"), F.coalesce("x._d", F.lit("")).alias("doc"), F.coalesce("x._s", F.lit("")).alias("section"))
     first = lambda p, g=1: F.nullif(F.regexp_extract("section", p, g), F.lit(""))
-    annex = first(r"\b(?:Annex(?:ure)?|Appendix)\s*[-–]?\s*([IVX]+|\d+)\b")
-    low, high = first(r"\bparas?\s*(\d+)\s*[-–]\s*(\d+)\b", 1).try_cast("int"), first(r"\bparas?\s*(\d+)\s*[-–]\s*(\d+)\b", 2).try_cast("int")
-    single = first(r"\bpara\s*(\d+[A-Z]?)\b")
+    annex = first(ANNEX_PLACE)
+    low, high = first(PARAS_PLACE, 1).try_cast("int"), first(PARAS_PLACE, 2).try_cast("int")
+    single = first(PARA_PLACE)
     paras = F.when(low.isNotNull(), F.when(low <= high, F.sequence(low, F.greatest(low, high)).cast("array<string>")).otherwise(F.expr("array()").cast("array<string>"))).when(single.isNotNull(), F.array(single))
-    usable = F.col("doc").rlike(r"\.(?:pdf|html)$") & (F.col("section") != "") & (F.lower("section") != "none") & (paras.isNotNull() | annex.isNotNull())
+    usable = F.col("doc").rlike(DOCUMENT_NAME) & (F.col("section") != "") & (F.lower("section") != "none") & (paras.isNotNull() | annex.isNotNull())
     return q.select(
         "id", "type", "n", "doc", "section", F.when(annex.isNotNull(), F.concat(F.lit("annex_"), annex)).otherwise("main").alias("region"), paras.alias("paras"),
-        F.when(annex.isNotNull(), first(r"\b(Part\s+\w+)")).alias("section_contains"), usable.alias("parsed"),
+        F.when(annex.isNotNull(), first(PART_PLACE)).alias("section_contains"), usable.alias("parsed"),
     )
 
 
@@ -58,23 +68,49 @@ def matched(hits: DataFrame, targets: DataFrame) -> DataFrame:
     return both.groupBy("id", "n").agg(F.min(F.when(ok, F.col("rank"))).alias("rank"))
 
 
-def retrieval_results(hits: DataFrame, targets: DataFrame, ks=KS, all_k: int = 10) -> DataFrame:
-    """(id, type, rank, hit_<k>.., all_found) per question with a parsed target; ``all_found`` looks at the first ``all_k`` hits."""
-    per = matched(hits, targets).groupBy("id").agg(F.min("rank").alias("rank"), F.min(F.coalesce(F.col("rank") <= all_k, F.lit(False)).cast("int")).alias("all_found"))
+def retrieval_results(hits: DataFrame, targets: DataFrame, ks=KS, all_k: int | None = None) -> DataFrame:
+    """(id, type, rank, hit_<k>.., all_found) per question with a parsed target; ``all_found`` looks at the first ``all_k`` hits, by default at as many
+    as the greatest k."""
+    far = all_k or max(ks)
+    per = matched(hits, targets).groupBy("id").agg(F.min("rank").alias("rank"), F.min(F.coalesce(F.col("rank") <= far, F.lit(False)).cast("int")).alias("all_found"))
     kinds = targets.filter("parsed").select("id", "type").distinct()
     return kinds.join(per, "id").select("id", "type", "rank", *[F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0)).alias(f"hit_{k}") for k in ks], "all_found")
 
 
+def described(results: DataFrame, targets: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
+    """``results`` with what was expected, what could not be parsed, the statuses allowed, and the first ``k`` hits (id, rank, doc, place, score) as text."""
+    text = F.when(F.col("parsed"), describe_target())
+    unparsed = F.when(~F.col("parsed"), F.trim(F.concat_ws(" ", "doc", "section")))
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("n", c.alias("t"))))), lambda x: x["t"]), "; ")
+    places = targets.groupBy("id").agg(ordered(text).alias("expected"), ordered(unparsed).alias("unparsed_part"))
+    shown = hits.filter(F.col("rank") <= k).select("id", "rank", F.concat("doc", F.lit(" "), "place", F.format_string(" (%.3f)", F.col("score").cast("double"))).alias("t"))
+    tops = shown.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), " || ").alias(f"top{k}"))
+    out = results.join(places, "id", "left").join(tops, "id", "left").withColumn("statuses", F.when(F.col("type").isin(*PLAIN_TYPES), "active").otherwise("all"))
+    return out.withColumn(f"top{k}", F.coalesce(f"top{k}", F.lit("")))
+
+
+def unparseable(targets: DataFrame) -> DataFrame:
+    """(id, type, unparsed): questions none of whose places can be parsed."""
+    per = targets.groupBy("id", "type").agg(F.bool_or("parsed").alias("_any"), F.array_sort(F.collect_list(F.struct("n", F.trim(F.concat_ws(" ", "doc", "section")).alias("t")))).alias("_p"))
+    return per.filter("not _any").select("id", "type", F.array_join(F.transform("_p", lambda x: x["t"]), "; ").alias("unparsed"))
+
+
+def differing_ranks(results: DataFrame, methods: list[str], watched: tuple[str, ...] = ()) -> DataFrame:
+    """(id, <method>..): questions whose rank is not the same for all methods, and those watched."""
+    wide = ranks_by_method(results, methods)
+    same = [F.col(m).eqNullSafe(F.col(methods[0])) for m in methods[1:]]
+    return wide.filter(~reduce(lambda a, b: a & b, same, F.lit(True)) | F.col("id").isin(list(watched)))
+
+
 def recall(results: DataFrame, ks=KS, by: tuple[str, ...] = ("type",)) -> DataFrame:
-    """Recall at each k, overall (null group) and per group, in one pass."""
-    sets = [[], list(by)]
+    """Recall at each k, per group and over the last one of its columns (null there), in one pass."""
+    sets = [list(by[:-1]), list(by)]
     return results.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"hit_{k}"), 6).alias(f"recall_{k}") for k in ks])
 
 
-def allowed_by_type(questions: DataFrame, chunks: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits (id, chunk_id, ..) that a question's type may use: current documents for simple and multi-part questions, all for the others."""
-    own = hits.join(questions.select("id", "type"), "id").join(chunks.select("chunk_id", "status"), "chunk_id")
-    return own.filter(~F.col("type").isin(*PLAIN_TYPES) | (F.col("status") == "active")).select(*hits.columns)
+def allowed_by_type(kind: str = "type", status: str = "status") -> Column:
+    """What a question's type may use: current documents for simple and multi-part questions, all for the others. Tested before hits are cut."""
+    return ~F.coalesce(F.col(kind).isin(*PLAIN_TYPES), F.lit(False)) | F.coalesce(F.col(status) == "active", F.lit(False))
 
 
 def half_found(results: DataFrame, targets: DataFrame) -> DataFrame:
@@ -234,23 +270,34 @@ def missing_numbers(answer: Column, quotes: Column) -> Column:
     return F.array_except(numbers_in(F.coalesce(answer, F.lit(""))), numbers_in(F.coalesce(quotes, F.lit(""))))
 
 
-def check_questions(questions: DataFrame, register: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """(id, outcome, problems): part counts, unknown or stale sources, numbers without evidence, and quotes not found if ``found`` is given."""
-    n = lambda c: F.size(F.split(F.coalesce(F.col(c), F.lit("")), r" \| "))
-    counts = F.concat_ws("/", n("source_doc").cast("string"), n("page").cast("string"), n("evidence_quote").cast("string"))
-    q = questions.withColumn("_doc", F.explode_outer(F.split(F.coalesce("source_doc", F.lit("")), r" \| "))).join(register.select(F.col("file_name").alias("_doc"), F.col("status").alias("_st")), "_doc", "left")
+def check_questions(questions: DataFrame, register: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, type, outcome, problems): part counts; then per part an unknown document, a quote not found or on another page than stated; numbers
+    without evidence; unknown or stale sources of plain questions.
+
+    ``found`` is ``quote_pages`` of the same questions. A page given as 'none' is not checked where the document has no pages. Unanswerable
+    questions are skipped. Nulls count as blank texts.
+    """
+    split = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), r" \| ")
+    none = F.expr("array()").cast("array<string>")
+    sizes = [F.size(split(c)) for c in ("source_doc", "page", "evidence_quote")]
+    parts = questions.select("id", "type", F.posexplode(F.arrays_zip(split("source_doc").alias("d"), split("page").alias("p"))).alias("n", "x")).select("id", "type", (F.col("n") + 1).alias("n"), F.coalesce("x.d", F.lit("")).alias("doc"), F.coalesce("x.p", F.lit("")).alias("stated"))
+    parts = parts.join(register.select(F.col("file_name").alias("doc"), F.col("status").alias("_status"), F.lit(True).alias("_known")), "doc", "left").join(found.select("id", "n", "pages"), ["id", "n"], "left")
+    pages = F.coalesce("pages", F.expr("array()").cast("array<int>"))
+    listed = F.array_join(pages.cast("array<string>"), ",")
+    place = (
+        F.when(F.col("_known").isNull(), F.concat("doc", F.lit(" not among the documents")))
+        .when(F.size(pages) == 0, F.concat(F.lit("quote not found in "), "doc"))
+        .when(~F.array_contains(pages.cast("array<string>"), F.col("stated")), F.concat(F.lit("quote on p"), listed, F.lit(" of "), "doc", F.lit(", not p"), "stated"))
+    )
     plain = F.col("type").isin(*PLAIN_TYPES)
-    bad_doc = F.when(plain & F.col("_st").isNull(), F.concat("_doc", F.lit(" not in register"))).when(plain & F.col("_st").isin(*STALE), F.concat("type", F.lit(" question sourced from "), "_st", F.lit(" doc "), "_doc"))
-    per = q.groupBy("id").agg(F.array_sort(F.collect_set(bad_doc)).alias("_docs"))
-    out = questions.join(per, "id", "left")
-    lost = F.expr("array()").cast("array<string>")
-    if found is not None:
-        nowhere = found.filter(F.size("pages") == 0).groupBy("id").agg(F.array_sort(F.collect_set(F.concat(F.lit("quote not found in "), "doc"))).alias("_lost"))
-        out, lost = out.join(nowhere, "id", "left"), F.coalesce("_lost", lost)
+    source = F.when(plain & F.col("_known").isNull(), F.concat("doc", F.lit(" not in register"))).when(plain & F.col("_status").isin(*STALE), F.concat("type", F.lit(" question sourced from "), "_status", F.lit(" doc "), "doc"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("n", c.alias("t"))))), lambda x: x["t"])
+    per = parts.groupBy("id").agg(in_order(place).alias("_places"), in_order(source).alias("_sources"))
     gap = F.array_sort(missing_numbers(F.col("expected_answer"), F.col("evidence_quote")))
-    numbers = F.when(F.size(gap) > 0, F.array(F.concat(F.lit("answer numbers not in quote: "), F.array_join(F.transform(gap, number_text), ", ")))).otherwise(F.expr("array()").cast("array<string>"))
-    even = (n("source_doc") == n("page")) & (n("page") == n("evidence_quote"))
-    problems = F.when(even, F.concat(lost, numbers, "_docs")).otherwise(F.array(F.concat(F.lit("parts "), counts)))
+    numbers = F.when(F.size(gap) > 0, F.array(F.concat(F.lit("answer numbers not in quote: "), F.array_join(F.transform(gap, number_text), ", ")))).otherwise(none)
+    even = (sizes[0] == sizes[1]) & (sizes[1] == sizes[2])
+    uneven = F.array(F.concat(F.lit("parts "), F.concat_ws("/", *[n.cast("string") for n in sizes])))
     skip = F.coalesce(F.col("type") == "unanswerable", F.lit(False))
-    out = out.select("id", "type", F.when(skip, F.expr("array()").cast("array<string>")).otherwise(problems).alias("_p"), skip.alias("_skip"))
+    problems = F.when(skip, none).when(even, F.concat("_places", numbers, "_sources")).otherwise(uneven)
+    out = questions.join(per, "id").select("id", "type", problems.alias("_p"), skip.alias("_skip"))
     return out.select("id", "type", F.when(F.col("_skip"), "skipped").when(F.size("_p") > 0, "fail").otherwise("pass").alias("outcome"), F.array_join("_p", "; ").alias("problems"))

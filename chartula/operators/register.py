@@ -15,9 +15,9 @@ MIN_SCORE = 0.35
 #: Queries compared with the register at once.
 BLOCK_QUERIES = 10_000
 #: Words without weight, aliases and months of the matcher.
-STOPWORDS = "the of on for and a an in to is are still force rbi reserve bank india directions direction what which where now it".split()
+STOPWORDS = ["the", "of", "on", "for", "and", "a", "an", "in", "to", "is", "are", "still", "force", "rbi", "reserve", "bank", "india", "directions", "direction", "what", "which", "where", "now", "it"]
 ALIASES = {"md": "master", "nbfcs": "nbfc", "non": "nbfc", "banking": "nbfc", "companies": "nbfc", "know": "kyc", "customer": "kyc", "2nd": "second"}
-MONTHS = "january february march april may june july august september october november december".split()
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
 def one_per_file(register: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def lineage(register: DataFrame) -> DataFrame:
 
 
 def status_label() -> Column:
-    """Label of a row of ``lineage``."""
+    """Label of a row of ``lineage``. The wordings."""
     s = F.col("status")
     date = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("None"))
     gone = F.concat(
@@ -60,7 +60,7 @@ def status_label() -> Column:
 
 
 def status_text() -> Column:
-    """The record of a row of ``lineage`` with ``status_label`` as lines of text; absent facts are skipped."""
+    """The record of a row of ``lineage`` with ``status_label`` as lines of text; absent facts are skipped. The wordings."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd")
     has = lambda c, text: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), text)
     return F.concat_ws(
@@ -89,23 +89,37 @@ def document_tokens() -> Column:
     return F.array_union(match_tokens(F.concat_ws(" ", "title", stem, "doc_type")), dated)
 
 
+def as_source(row_text: Column | None = None) -> Column:
+    """A document's record as one more source of an answer: (doc, header, amendment_note, text, score), with the greatest score."""
+    return F.struct(
+        F.col("file_name").alias("doc"), F.concat(F.coalesce("title", F.lit("")), F.lit(" ["), F.col("status_label"), F.lit("] › status record")).alias("header"),
+        F.lit(None).cast("string").alias("amendment_note"), (status_text() if row_text is None else row_text).alias("text"), F.lit(1.0).alias("score"),
+    )
+
+
 def best_documents(register: DataFrame, queries: DataFrame, qid: str = "qid", text: str = "text", keep: int = 4) -> DataFrame:
     """(qid, file_name, score, rank, matched): the best documents for each query, ties by file name descending.
 
     Score: 0.75 of the query's tokens found, 0.25 of the similarity with the title, less 0.3 for each year or month the document lacks and
-    0.1 for an amendment nobody asked for. ``matched`` marks a first rank of at least 0.35. An empty register gives no row. Every query is
-    compared with every document, as the similarity has no index: the queries are a stated set and go in blocks.
+    0.1 for an amendment nobody asked for. ``matched`` marks a first rank of at least 0.35. An empty register gives no row. The queries are a stated
+    set and go in blocks. The similarity, which has no index, adds 0.25 at most: documents that cannot reach the ``keep``-th best without it are
+    left out first, exactly.
     """
-    docs = spread(register.select("file_name", "title", "doc_type", document_tokens().alias("_d")), "file_name")  # the similarity is costly
+    docs = spread(register.select("file_name", "title", "doc_type", document_tokens().alias("_d")), "file_name")
     q = queries.select(F.col(qid), F.col(text).alias("_q"), match_tokens(F.col(text)).alias("_t"))
     blocks = max(1, -(-q.count() // BLOCK_QUERIES))  # a stated set of queries, sent in blocks of bounded size
     parts = [docs.join(F.broadcast(q.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b))) for b in range(blocks)]
-    pairs = reduce(DataFrame.unionByName, parts)
     missing = F.array_except("_t", "_d")
     misses = F.size(F.filter(missing, lambda w: w.rlike(r"^(19|20)\d\d$") | w.isin(MONTHS)))
     unasked = (F.coalesce(F.col("doc_type"), F.lit("")) == "amendment") & ~F.array_contains("_t", "amendment")
-    raw = 0.75 * F.size(F.array_intersect("_t", "_d")) / F.size("_t") + 0.25 * similarity(F.coalesce("_q", F.lit("")), F.coalesce("title", F.lit(""))) - 0.3 * misses - 0.1 * unasked.cast("int")
-    scored = pairs.withColumn("score", F.when(F.size("_t") > 0, F.bround(raw, 3)).otherwise(0.0))
+    sure = 0.75 * F.size(F.array_intersect("_t", "_d")) / F.size("_t") - 0.3 * misses - 0.1 * unasked.cast("int")
+    pairs = reduce(DataFrame.unionByName, parts).select(qid, "file_name", "title", "_q", F.size("_t").alias("_n"), F.when(F.size("_t") > 0, sure).otherwise(0.0).alias("_sure"))
+    # with ties in the rounded score the file name decides, so the bound is taken a rounding step lower
+    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("_sure")))).filter(F.col("_r") <= keep)
+    bound = near.groupBy(qid).agg(F.min(F.when(F.col("_r") == keep, F.col("_sure"))).alias("_least"))
+    left = pairs.join(bound, qid).filter(F.col("_least").isNull() | (F.col("_n") == 0) | (F.col("_sure") + 0.2515 >= F.col("_least")))
+    raw = F.col("_sure") + 0.25 * similarity(F.coalesce("_q", F.lit("")), F.coalesce("title", F.lit("")))
+    scored = left.withColumn("score", F.when(F.col("_n") > 0, F.bround(raw, 3)).otherwise(0.0))
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.desc("file_name"))
     top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
     return top.select(qid, "file_name", "score", "rank", ((F.col("rank") == 1) & (F.col("score") >= MIN_SCORE)).alias("matched"))

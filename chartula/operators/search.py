@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_words, words
-from ..plans.tables import small
+from ..functions.text import lexemes, query_stems, query_words, words
 
 POOL, RRF_K = 20, 60
 MAX_DF, MIN_TERMS = 0.15, 3
@@ -57,27 +56,31 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, key: str = "chu
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = [r[0] for r in sent.value]
             q = np.array([r[1] for r in sent.value], np.float64)
-            skip = [r[2] if len(r) > 2 else None for r in sent.value]
-            best: list[list[tuple[float, object]]] = [[] for _ in ids]
+            skip = np.array([r[2] if len(r) > 2 else None for r in sent.value], object)
+            at = np.zeros(0, np.int64)
+            key_, score = np.zeros(0, object), np.zeros(0)
             for batch in batches:
                 keep = [v is not None and len(v) == q.shape[1] for v in batch[vec]]
-                keys = batch[key][keep].to_numpy()
+                keys = batch[key][keep].to_numpy().astype(object)
                 if not len(keys):
                     continue
                 x = np.stack([np.asarray(v, np.float64) for v in batch[vec][keep]])
                 norm = np.sqrt((x * x).sum(1))
                 ok = np.isfinite(norm) & (norm > 0)
                 keys, x, norm = keys[ok], x[ok], norm[ok]
+                if not len(keys):
+                    continue
                 s = np.round((q @ x.T) / norm, 6)
-                for i in range(len(ids)):
-                    n = min(len(keys), k + (skip[i] is not None))
-                    if not n:
-                        continue
-                    cut = -np.partition(-s[i], n - 1)[n - 1]
-                    rows = np.flatnonzero(s[i] >= cut)
-                    best[i] = sorted(best[i] + [(-float(s[i, r]), keys[r]) for r in rows if keys[r] != skip[i]])[:k]
-            rows = [(ids[i], kk, -v) for i, b in enumerate(best) for v, kk in b]
-            yield pd.DataFrame(rows, columns=[qid, key, "score"])
+                s[keys[None, :] == skip[:, None]] = -9
+                n = min(len(keys), k)
+                rows, cols = np.nonzero(s >= np.maximum(-np.partition(-s, n - 1, axis=1)[:, n - 1], -8)[:, None])
+                at, key_, score = np.r_[at, rows], np.r_[key_, keys[cols]], np.r_[score, s[rows, cols]]
+                order = np.lexsort((pd.factorize(key_, sort=True)[0], -score, at))
+                at, key_, score = at[order], key_[order], score[order]
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+                best = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < k
+                at, key_, score = at[best], key_[best], score[best]
+            yield pd.DataFrame({qid: [ids[i] for i in at.tolist()], key: key_.tolist(), "score": score})
 
         return own.mapInPandas(run, schema)
 
@@ -105,23 +108,42 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int, key: str = "chu
     return ranked(found, qid, [F.desc("score"), F.col(key)], k)
 
 
-def postings(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, lexeme, tf) of a text column."""
-    return df.select(key, F.explode_outer(words(F.col(text))).alias("lexeme")).filter(F.col("lexeme").isNotNull()).groupBy(key, "lexeme").agg(F.count(F.lit(1)).alias("tf"))
+def postings(df: DataFrame, key: str = "chunk_id", tsv: str = "tsv", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, lexeme, weight, first, keep..) of a column of search vectors. One row per lexeme, without a shuffle."""
+    own = df.select(key, *keep, F.explode_outer(lexemes(F.col(tsv))).alias("x")).filter(F.col("x").isNotNull())
+    return own.select(key, *keep, "x.lexeme", "x.weight", "x.first")
+
+
+def word_postings(df: DataFrame, key: str = "chunk_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same of plain texts, for tables without search vectors: each place of a word weighs as a position."""
+    own = df.select(key, *keep, F.explode_outer(words(F.col(text))).alias("lexeme")).filter(F.col("lexeme").isNotNull())
+    return own.groupBy(key, *keep, "lexeme").agg(F.round(0.1 * F.count(F.lit(1)), 6).alias("weight")).withColumn("first", F.lit(True))
 
 
 def lexeme_df(posts: DataFrame) -> DataFrame:
     """(lexeme, df): in how many records a lexeme stands."""
-    return posts.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+    return posts.groupBy("lexeme").agg(F.count_if("first").alias("df"))
+
+
+def updated_index(posts: DataFrame, dfs: DataFrame, changes: DataFrame, key: str = "chunk_id", tsv: str = "tsv", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(postings, document frequencies) after changes: one row per record added, changed or deleted, with its new vector, null if it is gone.
+
+    Only the changed records are read again; frequencies move by what their postings were and are.
+    """
+    ids = changes.select(key)
+    gone, fresh = posts.join(ids, key, "left_semi"), postings(changes, key, tsv, keep)
+    moved = gone.filter("first").select("lexeme", F.lit(-1).alias("d")).unionByName(fresh.filter("first").select("lexeme", F.lit(1).alias("d")))
+    every = dfs.select("lexeme", F.col("df").alias("d")).unionByName(moved).groupBy("lexeme").agg(F.sum("d").cast("bigint").alias("df"))
+    return posts.join(ids, key, "left_anti").unionByName(fresh), every.filter("df > 0")
 
 
-def keyword_terms(queries: DataFrame, dfs: DataFrame, total: DataFrame, qid: str = "qid", text: str = "text", max_df: float = MAX_DF, min_terms: int = MIN_TERMS, stemmer=None) -> DataFrame:
+def keyword_terms(queries: DataFrame, dfs: DataFrame, total: DataFrame, qid: str = "qid", text: str = "text", max_df: float = MAX_DF, min_terms: int = MIN_TERMS, stem: bool = True) -> DataFrame:
     """(qid, lexeme, df): a query's lexemes found in at most ``max_df`` of all records; if fewer than ``min_terms`` are left, its rarest ones.
 
-    ``total`` has one row with the number of records. Lexemes of no record have df 0 and are kept. ``stemmer`` maps the array of words.
+    ``total`` has one row with the number of records. Lexemes of no record have df 0 and are kept. Words are stemmed and stop words left out, as in
+    stored vectors; without ``stem`` they are looked up as they stand.
     """
-    terms = query_words(F.col(text))
-    terms = stemmer(terms) if stemmer is not None else terms
+    terms = query_stems(F.col(text)) if stem else query_words(F.col(text))
     own = queries.select(qid, F.explode_outer(terms).alias("lexeme")).filter(F.col("lexeme").isNotNull()).join(dfs, "lexeme", "left").select(qid, "lexeme", F.coalesce("df", F.lit(0)).alias("df"))
     own = own.join(F.broadcast(total.select(F.col(total.columns[0]).alias("_n")))).withColumn("_keep", F.col("df") <= max_df * F.col("_n"))
     w = Window.partitionBy(qid)
@@ -129,9 +151,11 @@ def keyword_terms(queries: DataFrame, dfs: DataFrame, total: DataFrame, qid: str
     return own.filter((F.col("_keep") & (F.col("_kept") >= min_terms)) | ((F.col("_kept") < min_terms) & (F.col("_r") <= min_terms))).select(qid, "lexeme", "df")
 
 
-def keyword_search(posts: DataFrame, terms: DataFrame, k: int, key: str = "chunk_id", qid: str = "qid") -> DataFrame:
-    """(qid, key, score, rank): 0.1 for each position a query lexeme holds, ties by key. ``posts`` are the postings of the records that may be found."""
-    hits = posts.join(terms.select(qid, "lexeme"), "lexeme").groupBy(qid, key).agg((F.sum("tf") * 0.1).alias("score"))
+def keyword_search(posts: DataFrame, terms: DataFrame, k: int, key: str = "chunk_id", qid: str = "qid", allowed: Column | None = None) -> DataFrame:
+    """(qid, key, score, rank): the weights of all positions a query's lexemes hold, ties by key. ``posts`` are the postings of the records that may
+    be found; ``allowed`` is a condition on columns of ``posts`` and ``terms``, tested before the cut."""
+    met = posts.join(terms, "lexeme")
+    hits = (met if allowed is None else met.filter(allowed)).groupBy(qid, key).agg(F.sum("weight").alias("score"))
     return ranked(hits.withColumn("score", F.round("score", 6)), qid, [F.desc("score"), F.col(key)], k)
 
 
@@ -144,16 +168,18 @@ def hybrid_search(vector: DataFrame, keyword: DataFrame, k: int, key: str = "chu
     return ranked(fused, qid, [F.desc("score"), F.coalesce("vector_rank", F.lit(NO_RANK)), F.col(key)], k)
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int = 5, statuses=("active",), include_boilerplate: bool = False, method: str = "vector", key: str = "chunk_id") -> DataFrame:
-    """Top-k for each query (qid, text, vec) in ``corpus`` (key, status, boilerplate, text, embedding); statistics cover the whole corpus."""
+def search(corpus: DataFrame, queries: DataFrame, k: int = 5, statuses=("active",), include_boilerplate: bool = False, method: str = "vector", key: str = "chunk_id", stem: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Top-k for each query (qid, text, vec) in ``corpus`` (key, status, boilerplate, tsv, embedding), with ``columns`` of the corpus; statistics
+    cover the whole corpus."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     own = status_filter(corpus, statuses, include_boilerplate)
     n = POOL if method == "hybrid" else k
     vec = vector_search(own, queries, n, key) if method != "keyword" else None
-    if method == "vector":
-        return vec
-    every = postings(corpus, key)
-    terms = keyword_terms(queries, lexeme_df(every), corpus.agg(F.count(F.lit(1)).alias("n")))
-    kw = keyword_search(postings(own, key), terms, n, key)
-    return kw if method == "keyword" else hybrid_search(vec, kw, k, key)
+    out = vec
+    if method != "vector":
+        every = postings(corpus, key)
+        terms = keyword_terms(queries, lexeme_df(every), corpus.agg(F.count(F.lit(1)).alias("n")), stem=stem)
+        kw = keyword_search(postings(own, key), terms, n, key)
+        out = kw if method == "keyword" else hybrid_search(vec, kw, k, key)
+    return out.join(corpus.select(key, *columns), key) if columns else out

@@ -2,29 +2,61 @@
 
 from __future__ import annotations
 
+from ..functions.text import ISSUER, NUMBER_WORDS, QUESTION_WORDS
+
 _CUR = "cur as (select * exclude rn from (select *, row_number() over (partition by chunk_id order by loaded_at desc) as rn from chunks) where rn = 1)"
 _GOLD = """gold as (select * exclude rn, case when lower(trim(my_verdict)) in ('correct', 'partial', 'incorrect') then lower(trim(my_verdict)) end as verdict,
  case when lower(trim(step5b_judge_verdict)) in ('correct', 'partial', 'incorrect') then lower(trim(step5b_judge_verdict)) end as judged
  from (select *, row_number() over (partition by id, source_run order by run_at desc) as rn from gold_verdicts) where rn = 1)"""
 _CHUNK_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+')"
-_QWORDS = "'how','often','what','which','when','where','who','whom','whose','why','whether','must','can','could','shall','should','would','will','may','might','need','needs','required','require','does','do','did','is','are','was','were','be','been','has','have','any','many','much','there','still','now','also','please','tell','explain','list'"
+_QWORDS = ",".join(f"'{w}'" for w in QUESTION_WORDS)
+#: Postings of the current chunks: lexeme, its weight (0.1 a position, more with a letter).
+_POSTS = r"""entries as (select chunk_id, unnest(regexp_extract_all(tsv, '''(?:[^'']|'''')*''(?::[0-9A-D,]+)?')) as entry from cur where tsv is not null),
+parsed as (select chunk_id, replace(regexp_extract(entry, '^''((?:[^'']|'''')*)''', 1), '''''', '''') as lexeme, regexp_extract(entry, ''':([0-9A-D,]+)$', 1) as p from entries),
+posts as (select chunk_id, lexeme, case when p = '' then 0 else round(0.1 * len(string_split(p, ',')) + 0.9 * (len(p) - len(replace(p, 'A', ''))) + 0.3 * (len(p) - len(replace(p, 'B', ''))) + 0.1 * (len(p) - len(replace(p, 'C', ''))), 6) end as w from parsed),
+dfs as (select lexeme, count(distinct chunk_id) as df from posts group by 1)"""
 _KEYWORD = rf"""{_CUR},
-posts as (select chunk_id, lexeme, count(*) as tf from (select chunk_id, unnest({_CHUNK_WORDS}) as lexeme from cur where text is not null) group by all),
-dfs as (select lexeme, count(*) as df from posts group by 1),
+{_POSTS},
 qw as (select distinct id as qid, w as lexeme from (select id, unnest(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_-]+')) as w from questions)
        where w not in ({_QWORDS}) and (length(w) > 1 or regexp_matches(w, '^[0-9]$'))),
 ranked as (select qid, lexeme, coalesce(df, 0) as df, coalesce(df, 0) <= 0.15 * (select count(*) from cur) as keep,
            row_number() over (partition by qid order by coalesce(df, 0), lexeme) as r from qw left join dfs using (lexeme)),
 kept as (select *, sum(keep::int) over (partition by qid) as k from ranked),
 terms as (select qid, lexeme, df from kept where (keep and k >= 3) or (k < 3 and r <= 3)),
-scores as (select qid, chunk_id, round(sum(tf) * 0.1, 6) as score from posts join terms using (lexeme) group by 1, 2)"""
+scores as (select qid, chunk_id, round(sum(w)::double, 6) as score from posts join terms using (lexeme) group by 1, 2)"""
 _ACTIVE = "(select chunk_id from cur where status = 'active' and not coalesce(boilerplate, false))"
+_ALLOWED = "s join cur c using (chunk_id) join questions q on q.id = s.qid where not coalesce(c.boilerplate, false) and (q.type not in ('simple', 'multi_part') or coalesce(c.status = 'active', false))"
 
 
 def _hits(where: str, k: int, name: str = "hits") -> str:
     return f"{name} as (select * from (select qid, chunk_id, score, row_number() over (partition by qid order by score desc, chunk_id) as rank from scores {where}) where rank <= {k})"
 
 
+#: Vector search of the questions over the chunks, each with the vector of the first chunk of its first document.
+_QVEC = f"""vecs as (select q.id as qid, min_by(c.embedding, c.chunk_id) as vec from questions q join cur c on c.doc = trim(string_split(q.source_doc, '|')[1]) where c.embedding is not null group by 1),
+vscores as (select qid, chunk_id, round(list_cosine_similarity(vec::double[], embedding::double[]), 6) as score from vecs, cur where embedding is not null),
+vranked as (select qid, chunk_id, score, row_number() over (partition by qid order by score desc, chunk_id) as rank from vscores {_ALLOWED} and not isnan(score))"""
+_FUSED = f"""{_hits(_ALLOWED, 30, 'khits')}, {_QVEC}, vhits as (select * from vranked where rank <= 30),
+fused as (select coalesce(v.qid, k.qid) as qid, coalesce(v.chunk_id, k.chunk_id) as chunk_id, v.rank as vr, round(coalesce(1 / (60 + v.rank), 0) + coalesce(1 / (60 + k.rank), 0), 6) as score
+  from (select * from vhits where rank <= 20) v full join (select * from khits where rank <= 20) k on v.qid = k.qid and v.chunk_id = k.chunk_id),
+hhits as (select * from (select qid, chunk_id, score, row_number() over (partition by qid order by score desc, coalesce(vr, 1000000), chunk_id) as rank from fused) where rank <= 30),
+every_hits as (select 'keyword' as method, * from khits union all select 'vector', * from vhits union all select 'hybrid', * from hhits)"""
+_FITS = "(t.paras is null or list_contains(t.paras, coalesce(c.para, ''))) and (t.section_contains is null or contains(coalesce(c.section, ''), t.section_contains))"
+_SIDE = f"""t as (select * from targets where parsed and type <> 'unanswerable'),
+        r as (select t.id, h.method, min(h.rank) as rank from t join (every_hits h join cur c using (chunk_id)) on h.qid = t.id and c.doc = t.doc and c.region = t.region where {_FITS} group by 1, 2),
+        w as (select i.id, v.rank::int as vector, k.rank::int as keyword, h.rank::int as hybrid from (select distinct id from t) i left join r v on v.id = i.id and v.method = 'vector' left join r k on k.id = i.id and k.method = 'keyword' left join r h on h.id = i.id and h.method = 'hybrid')"""
+_SQUASH = "lower(regexp_replace(translate({0}, '‘’`“”–—‐‑' || chr(173), '''''''\"\"-----'), '[\\s\\-\\x0b\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{85}}\\x1c-\\x1f]+', '', 'g'))"
+#: Where the quotes of the questions stand: pages of chunks, and one page for each quote, counted from 5000.
+_PAGES = f"""split_q as (select id, string_split(coalesce(source_doc, ''), ' | ') as d, string_split(coalesce(page, ''), ' | ') as p, string_split(coalesce(evidence_quote, ''), ' | ') as q from questions),
+trip as (select id, i as n, coalesce(d[i], '') as doc, coalesce(p[i], '') as p, coalesce(q[i], '') as q from (select *, unnest(range(1, greatest(len(d), len(p), len(q)) + 1)) as i from split_q)),
+pages0 as (select doc, page_start as page, string_agg(coalesce(text, ''), chr(10) order by chunk_id) as text from cur where page_start is not null group by 1, 2
+  union all select doc, coalesce(try_cast(p as int), 1) + case when coalesce(try_cast(right(id, 1) as int), 0) % 3 = 0 then 1 else 0 end + 5000, string_agg('Page. ' || replace(q, ' ', ' ' || chr(10)), chr(10) order by 'Page. ' || replace(q, ' ', ' ' || chr(10))) from trip where doc <> '' and q <> '' group by 1, 2),
+bodies as (select *, lead(body) over (partition by doc order by page) as next from (select doc, page, {_SQUASH.format('text')} as body from pages0)),
+asked as (select id, i as n, coalesce(d[i], '') as doc, {_SQUASH.format("coalesce(q[i], '')")} as quote from (select *, unnest(range(1, greatest(len(d), len(q)) + 1)) as i from split_q)),
+places as (select a.id, a.n, a.doc, list(b.page order by b.page) filter (contains(b.body, a.quote)) as one, list(b.page order by b.page) filter (coalesce(contains(b.body || b.next, a.quote) and not contains(b.next, a.quote), false)) as two
+  from asked a join bodies b on b.doc = a.doc where a.quote <> '' group by 1, 2, 3),
+stand as (select id, n, doc, coalesce(case when len(one) > 0 then one else two end, []) as pages from places)"""
+
 _COS = "round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)"
 _VECTOR = f"""vec as (select * from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from
  (select a.vec_id as qid, b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)) where rank <= 20)"""
@@ -40,7 +72,7 @@ targets as (select id, type, n, doc, case when annex is not null then 'annex_' |
   regexp_matches(doc, '\.(?:pdf|html)$') and section <> '' and lower(section) <> 'none' and (low is not null or single is not null or annex is not null) as parsed from parts)"""
 _MATCHED = """per_target as (select t.id, t.type, t.n, min(case when (t.paras is null or list_contains(t.paras, coalesce(c.para, ''))) and (t.section_contains is null or contains(coalesce(c.section, ''), t.section_contains)) then h.rank end) as rank
   from targets t left join (hits h join cur c using (chunk_id)) on h.qid = t.id and c.doc = t.doc and c.region = t.region where t.parsed and t.type <> 'unanswerable' group by all),
-results as (select id, type, min(rank) as rank, """ + ", ".join(f"cast(coalesce(min(rank) <= {k}, false) as int) as hit_{k}" for k in (1, 3, 5, 10, 20, 30)) + """, min(cast(coalesce(rank <= 10, false) as int)) as all_found from per_target group by id, type)"""
+results as (select id, type, min(rank) as rank, """ + ", ".join(f"cast(coalesce(min(rank) <= {k}, false) as int) as hit_{k}" for k in (1, 3, 5, 10, 20, 30)) + """, min(cast(coalesce(rank <= 30, false) as int)) as all_found from per_target group by id, type)"""
 _DELTA = """rows_ as (select chunk_id, doc, text, tsv, loaded_at from chunks),
 old as (select * exclude rn from (select *, row_number() over (partition by chunk_id order by loaded_at desc) as rn from rows_ where loaded_at <= timestamp '2018-01-01') where rn = 1),
 new as (select * exclude rn from (select *, row_number() over (partition by chunk_id order by loaded_at desc) as rn from rows_ where loaded_at > timestamp '2018-01-01') where rn = 1)"""
@@ -56,11 +88,15 @@ _STATS = _STATS_ROWS + """, st as (select source_run, count(*) as n,
  round(count(*) filter (exact_refusal = 1 and type = 'unanswerable') / nullif(count(*) filter (type = 'unanswerable'), 0), 6) as exact_refusal,
  round(count(*) filter (refused = 1 and type <> 'unanswerable') / nullif(count(*) filter (type <> 'unanswerable'), 0), 6) as false_refusal,
  round(sum(cost)::double, 6) as cost, round(avg(seconds), 6) as seconds from s group by 1)"""
-_NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "fifteen": 15, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100}
-_MAP = "map {" + ", ".join(f"'{k}': {v}.0::double" for k, v in _NUMBER_WORDS.items()) + "}"
+_MAP = "map {" + ", ".join(f"'{k}': {v}.0::double" for k, v in NUMBER_WORDS.items()) + "}"
+#: Numbers of a text: (id, x) of a table named v<name>.
+_NUMBERS = (
+    r"t{0} as (select id, regexp_extract_all(lower({1}), '\d[\d,]*(?:\.\d+)?|[a-z]+') as w from questions), v{0} as (select id, list_transform(range(1, len(w) + 1), lambda i: (case when regexp_matches(w[i], '^\d') then try_cast(replace(w[i], ',', '') as double) else "
+    + _MAP.replace("{", "{{").replace("}", "}}") + "[w[i]] end) * (case w[i + 1] when 'thousand' then 1000.0 when 'lakh' then 100000.0 when 'lakhs' then 100000.0 when 'crore' then 10000000.0 else 1.0 end)) as x from t{0})"
+)
 _CLOSING = r"requested to (?:ensure|note)\b|ensure strict compliance|strict compliance of this|acknowledge (?:the )?receipt|yours faithfully|for (?:your )?information and (?:necessary|appropriate) action"
 _DELETED = r"^(?:\d{1,3}[A-Z]?\.\s*)?(?:\d{1,3}\s*)?\[?\s*(?:Deleted|\*+)\s*\]?\.?\s*(?:\d{1,3})?$"
-_CIRCULAR = r"\d{2}\.\d{2}\.\d{2,3}/\d{4}-\d{2}|[A-Z]{3}/\d{4}-\d{2}/\d+"
+_CIRCULAR = rf"\d{{2}}\.\d{{2}}\.\d{{2,3}}/\d{{4}}-\d{{2}}|{ISSUER}/\d{{4}}-\d{{2}}/\d+"
 _CIRCULAR_ROW = r"^\s*\d{1,3}\.\s*\|.*\|\s*(?:[A-Z][a-z]+\s+\d{1,2}\s*,\s*\d{4}|\d{2}\.\d{2}\.\d{4})\b"
 
 ORACLES = {
@@ -70,7 +106,8 @@ ORACLES = {
     "load_report": f"""with {_CUR}, r as (select c.doc, d.status, count(*) as rows, count(embedding) as embedded, cast(sum(coalesce(boilerplate, false)::int) as bigint) as boilerplate
         from cur c join doc_register d on d.file_name = c.doc group by 1, 2)
         select * from r union all select null, null, cast(sum(rows) as bigint), cast(sum(embedded) as bigint), cast(sum(boilerplate) as bigint) from r""",
-    "lexeme_df": f"with {_CUR} select lexeme, count(*) as df from (select distinct chunk_id, unnest({_CHUNK_WORDS}) as lexeme from cur where text is not null) group by 1",
+    "lexeme_df": f"with {_CUR}, {_POSTS} select lexeme, df from dfs",
+    "index_update": f"with {_CUR}, {_POSTS} select lexeme, df from dfs",
     "keyword_terms": f"with {_KEYWORD} select qid, lexeme, df from terms",
     "keyword_topk": f"with {_KEYWORD}, {_hits('where chunk_id in ' + _ACTIVE, 5)} select qid, chunk_id, score, cast(rank as int) as rank from hits",
     "vector_topk": f"with {_VECTOR} select qid, vec_id, score, cast(rank as int) as rank from vec",
@@ -127,15 +164,32 @@ ORACLES = {
     "eval_targets": f"""with {_TARGETS} select id, cast(n as int) as n, doc, region, array_to_string(paras, ',') as paras, section_contains, parsed,
         case when parsed then doc || ' ' || case when region = 'main' then '' else replace(region, 'annex_', 'Annex ') || ' ' end || case when paras is null then coalesce(section_contains, 'any') when len(paras) = 1 then 'para ' || paras[1]
           else 'paras ' || coalesce(paras[1], '') || '-' || coalesce(paras[len(paras)], '') end end as target from targets""",
-    "retrieval_results": f"with {_KEYWORD}, {_hits('', 30)}, {_TARGETS}, {_MATCHED} select * replace (cast(rank as int) as rank) from results",
-    "recall_at_k": f"with {_KEYWORD}, {_hits('', 30)}, {_TARGETS}, {_MATCHED} select type, count(*) as n, " + ", ".join(f"round(avg(hit_{k}), 6) as recall_{k}" for k in (1, 3, 5, 10, 20, 30)) + " from results group by grouping sets ((), (type))",
-    "method_ranks": f"""with {_KEYWORD}, {_TARGETS}, {_hits('', 30, 'hits_a')}, {_hits('where chunk_id in ' + _ACTIVE, 30, 'hits_b')}, both_hits as (select 'every' as method, * from hits_a union all select 'current', * from hits_b),
-        t as (select * from targets where parsed and type <> 'unanswerable'),
-        r as (select t.id, h.method, min(h.rank) as rank from t join (both_hits h join cur c using (chunk_id)) on h.qid = t.id and c.doc = t.doc and c.region = t.region
-          where (t.paras is null or list_contains(t.paras, coalesce(c.para, ''))) and (t.section_contains is null or contains(coalesce(c.section, ''), t.section_contains)) group by 1, 2)
-        select i.id, a.rank::int as every, b.rank::int as current from (select distinct id from t) i left join r a on a.id = i.id and a.method = 'every' left join r b on b.id = i.id and b.method = 'current'""",
-    "policy_hits": f"with {_KEYWORD}, {_hits('', 30)} select h.qid as id, h.chunk_id, h.score, cast(h.rank as int) as rank from hits h join questions q on q.id = h.qid join cur c using (chunk_id) where q.type not in ('simple', 'multi_part') or c.status = 'active'",
-    "half_found": f"with {_KEYWORD}, {_hits('', 30)}, {_TARGETS}, {_MATCHED} select id from results where all_found = 0 and id in (select id from targets where parsed group by 1 having count(*) > 1)",
+    "retrieval_results": f"with {_KEYWORD}, {_hits(_ALLOWED, 30)}, {_TARGETS}, {_MATCHED} select * replace (cast(rank as int) as rank) from results",
+    "recall_at_k": f"""with {_KEYWORD}, {_TARGETS}, {_FUSED}, t as (select * from targets where parsed and type <> 'unanswerable'),
+        best as (select t.id, h.method, min(h.rank) as rank from t join (every_hits h join cur c using (chunk_id)) on h.qid = t.id and c.doc = t.doc and c.region = t.region where {_FITS} group by 1, 2),
+        r as (select i.id, i.type, m.method, best.rank from (select distinct id, type from t) i cross join (values ('keyword'), ('vector'), ('hybrid')) m(method) left join best on best.id = i.id and best.method = m.method)
+        select method, type, count(*) as n, """ + ", ".join(f"round(avg(coalesce(rank <= {k}, false)::int), 6) as recall_{k}" for k in (1, 3, 5, 10, 20, 30)) + " from r group by grouping sets ((method), (method, type))",
+    "method_ranks": f"with {_KEYWORD}, {_TARGETS}, {_FUSED}, {_SIDE} select * from w",
+    "differing_ranks": f"with {_KEYWORD}, {_TARGETS}, {_FUSED}, {_SIDE} select * from w where vector is distinct from keyword or vector is distinct from hybrid or id = 'q001'",
+    "vector_hits": f"with {_KEYWORD}, {_FUSED} select qid as id, chunk_id, score, rank::int as rank from vhits",
+    "hybrid_hits": f"with {_KEYWORD}, {_FUSED} select qid as id, chunk_id, score, rank::int as rank from hhits",
+    "unparseable": f"""with {_TARGETS}, g as (select t.id, t.type, bool_or(parsed) as any_, string_agg(trim(t.doc || ' ' || p.section), '; ' order by t.n) as unparsed from targets t join places p on p.id = t.id and p.n = t.n group by 1, 2)
+        select id, type, unparsed from g where not any_ and type <> 'unanswerable'""",
+    "policy_hits": f"with {_KEYWORD}, {_hits(_ALLOWED, 30)} select qid as id, chunk_id, score, cast(rank as int) as rank from hits",
+    "half_found": f"with {_KEYWORD}, {_TARGETS}, {_FUSED}, hits as (select * from vhits), {_MATCHED} select id from results where all_found = 0 and id in (select id from targets where parsed and type <> 'unanswerable' group by 1 having count(*) > 1)",
+    "quote_pages": f"with {_CUR}, {_PAGES} select id, cast(n as int) as n, doc, array_to_string(pages, ',') as pages from stand",
+    "question_checks": rf"""with {_CUR}, {_PAGES},
+        two as (select t.id, t.n, q.type, t.doc, case when try_cast(t.p as int) is not null then (try_cast(t.p as int) + 5000)::varchar else t.p end as p, r.status, r.file_name is not null as known, coalesce(s.pages, []) as pages
+          from trip t join questions q using (id) join split_q z using (id) left join doc_register r on r.file_name = t.doc left join stand s on s.id = t.id and s.n = t.n where t.n <= greatest(len(z.d), len(z.p))),
+        said as (select id, string_agg(case when not known then doc || ' not among the documents' when len(pages) = 0 then 'quote not found in ' || doc
+            when not list_contains(list_transform(pages, lambda x: x::varchar), p) then 'quote on p' || array_to_string(pages, ',') || ' of ' || doc || ', not p' || p end, '; ' order by n) as places,
+          string_agg(case when type in ('simple', 'multi_part') and not known then doc || ' not in register' when type in ('simple', 'multi_part') and status in ('repealed', 'withdrawn') then type || ' question sourced from ' || status || ' doc ' || doc end, '; ' order by n) as sources from two group by 1),
+        {_NUMBERS.format('a', "coalesce(expected_answer, '')")}, {_NUMBERS.format('b', "coalesce(evidence_quote, '')")},
+        gap as (select va.id, list_sort(list_distinct(list_filter(va.x, lambda y: y is not null and not list_contains(vb.x, y)))) as g from va join vb using (id)),
+        f as (select q.id, q.type, q.type = 'unanswerable' as skip, case when q.type = 'unanswerable' then '' when len(z.d) = len(z.p) and len(z.p) = len(z.q)
+            then concat_ws('; ', nullif(places, ''), case when len(g) > 0 then 'answer numbers not in quote: ' || array_to_string(list_transform(g, lambda y: case when y = floor(y) then y::bigint::varchar else y::varchar end), ', ') end, nullif(sources, ''))
+            else 'parts ' || len(z.d) || '/' || len(z.p) || '/' || len(z.q) end as problems from questions q join split_q z using (id) join said using (id) join gap using (id))
+        select id, type, case when skip then 'skipped' when problems <> '' then 'fail' else 'pass' end as outcome, problems from f""",
     "resolved_documents": r"""with n as (select id, unnest(string_split(source_doc, ' | ')) as name from questions), k as (select regexp_replace(file_name, '\.[^.]*$', '') as stem, min(file_name) as f from doc_register group by 1)
         select id, name, coalesce(k.f, regexp_replace(name, '\.[^.]*$', '') || '.pdf') as doc from n left join k on k.stem = regexp_replace(name, '\.[^.]*$', '')""",
     "majority_votes": f"""with {_GOLD}, c as (select id, verdict, count(*) as n from gold where verdict is not null group by 1, 2), t as (select *, max(n) over (partition by id) as top, sum(n) over (partition by id) as total from c),

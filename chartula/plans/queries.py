@@ -17,7 +17,7 @@ from ..operators import register as R
 from ..operators import search as S
 from ..sources import tables as K
 from ..streaming import events as V
-from .tables import current_chunks, latest, read, spread, written
+from .tables import current_chunks, kept, latest, read, small, spread, written
 
 PRICES = [("large", 2.5, 15.0), ("small", 0.75, 4.5)]
 CUT = "2018-01-01 00:00:00"
@@ -55,28 +55,50 @@ def load_report(spark, d):
     return M.load_report(latest(flagged, ["chunk_id"], "loaded_at", ["chunk_id", "doc", "boilerplate", "embedding"]), read(spark, d, "doc_register"))
 
 
-def _posts(chunks: DataFrame) -> DataFrame:
-    return S.postings(chunks)
+def _keyword_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings with status and boilerplate, document frequencies, number of chunks) of the current chunks; made once for each state of the table."""
+    source = read(spark, d, "chunks")
+    chunks = _chunks(spark, d, "tsv", "status", "boilerplate")
+    posts = kept(f"{d}/postings", S.postings(chunks, keep=("status", "boilerplate")), source)
+    dfs = kept(f"{d}/frequencies", S.lexeme_df(posts), source)
+    return posts, dfs, kept(f"{d}/chunks", source.agg(F.count_distinct("chunk_id").alias("n")), source)
 
 
 def lexeme_df(spark, d):
-    return S.lexeme_df(_posts(_chunks(spark, d, "text")))
+    return _keyword_index(spark, d)[1]
 
 
-def _keyword(spark, d, statuses, k):
-    chunks = written(_chunks(spark, d, "status", "boilerplate", "doc", "region", "para", "section", "text"))
-    posts = written(_posts(chunks))
-    terms = S.keyword_terms(_questions(spark, d), S.lexeme_df(posts), chunks.agg(F.count(F.lit(1)).alias("n")))
-    own = posts.join(S.status_filter(chunks, statuses).select("chunk_id"), "chunk_id", "left_semi") if statuses is not None else posts
-    return chunks, terms, S.keyword_search(own, terms, k)
+def index_update(spark, d):
+    """Document frequencies of the table as it was at the cut, brought up to date by the chunks delivered after it."""
+    old, new = delta_chunks(spark, d)
+    posts = S.postings(old)
+    return S.updated_index(posts, S.lexeme_df(posts), new)[1]
+
+
+def _terms(spark, d, stem):
+    _, dfs, total = _keyword_index(spark, d)
+    return S.keyword_terms(_questions(spark, d), dfs, total, stem=stem)
+
+
+def _active(posts: DataFrame) -> DataFrame:
+    return S.status_filter(posts, ("active",))
 
 
 def keyword_terms(spark, d):
-    return _keyword(spark, d, ("active",), 5)[1]
+    return _terms(spark, d, False)
 
 
 def keyword_topk(spark, d):
-    return _keyword(spark, d, ("active",), 5)[2]
+    """The words of the questions as they stand, so that SQL can follow; ``keyword_topk_stemmed`` is the search itself."""
+    return S.keyword_search(_active(_keyword_index(spark, d)[0]), _terms(spark, d, False), 5)
+
+
+def keyword_terms_stemmed(spark, d):
+    return _terms(spark, d, True)
+
+
+def keyword_topk_stemmed(spark, d):
+    return S.keyword_search(_active(_keyword_index(spark, d)[0]), _terms(spark, d, True), 5)
 
 
 def _vectors(spark, d):
@@ -107,8 +129,8 @@ def hybrid_rrf(spark, d):
     e = written(_doc_vectors(spark, d))
     q = e.filter("doc_id % 100 = 0")
     vec = S.vector_search(e, q.select(F.col("doc_id").alias("qid"), F.col("embedding").alias("vec")), S.POOL, "doc_id")
-    posts = written(S.postings(e, "doc_id"))
-    terms = S.keyword_terms(q.select(F.col("doc_id").alias("qid"), "text"), S.lexeme_df(posts), e.agg(F.count(F.lit(1)).alias("n")))
+    posts = written(S.word_postings(e, "doc_id"))
+    terms = S.keyword_terms(q.select(F.col("doc_id").alias("qid"), "text"), S.lexeme_df(posts), e.agg(F.count(F.lit(1)).alias("n")), stem=False)
     return S.hybrid_search(vec, S.keyword_search(posts, terms, S.POOL, "doc_id"), 40, "doc_id")
 
 
@@ -174,11 +196,14 @@ def best_documents(spark, d):
 
 def source_prompts(spark, d):
     """Prompts with current sources first and superseded ones after them, from the keyword search."""
-    _, terms, now = _keyword(spark, d, ("active",), 5)
-    chunks = written(_chunks(spark, d, "doc", "title", "status", "boilerplate", "region", "chapter", "section", "para", "para_title", "part", "parts", "page_start", "page_end", "amendment_note", "text"))
-    old = S.keyword_search(_posts(S.status_filter(chunks, R.SUPERSEDED)), terms, 5)
-    hits = A.compare_hits(now, old).join(A.with_labels(chunks, read(spark, d, "doc_register")), "chunk_id")
-    return A.prompts(hits, _questions(spark, d))
+    posts, _, _ = _keyword_index(spark, d)
+    terms = written(_terms(spark, d, True))
+    now = S.keyword_search(_active(posts), terms, 5)
+    old = S.keyword_search(S.status_filter(posts, R.SUPERSEDED), terms, 5)
+    both = written(A.compare_hits(now, old))
+    wide = _chunks(spark, d, "doc", "title", "region", "chapter", "section", "para", "para_title", "part", "parts", "page_start", "page_end", "amendment_note", "text")
+    wide = wide.join(small(written(both.select("chunk_id").distinct())), "chunk_id", "left_semi")
+    return A.prompts(both.join(A.with_labels(wide, read(spark, d, "doc_register")), "chunk_id"), _questions(spark, d))
 
 
 def generated_answers(spark, d):
@@ -205,35 +230,92 @@ def eval_targets(spark, d):
     return t.select("id", "n", "doc", "region", F.array_join("paras", ",").alias("paras"), "section_contains", "parsed", F.when(F.col("parsed"), E.describe_target()).alias("target"))
 
 
-def _retrieval(spark, d, statuses, method):
-    chunks, _, hits = _keyword(spark, d, statuses, 30)
-    found = hits.join(chunks.select("chunk_id", "doc", "region", "para", "section"), "chunk_id").withColumnRenamed("qid", "id")
+KS = (1, 3, 5, 10, 20, 30)
+
+
+def _question_vectors(spark, d) -> DataFrame:
+    """(qid, type, vec): a stand-in for embedded questions, as no embedding model is at hand: the vector of the first chunk of the first document a
+    question names; questions that name none ask for nothing."""
+    have = current_chunks(spark, d, ["chunk_id", "doc", "embedding"]).filter("embedding is not null")
+    firsts = have.groupBy("doc").agg(F.min_by("embedding", "chunk_id").alias("vec"))
+    q = read(spark, d, "questions").select(F.col("id").alias("qid"), "type", F.trim(F.split_part("source_doc", F.lit("|"), F.lit(1))).alias("doc"))
+    return q.join(F.broadcast(q.select("doc").distinct()).join(firsts, "doc"), "doc").select("qid", "type", "vec")
+
+
+def _method_hits(spark, d, method: str, k: int = 30) -> DataFrame:
+    """(id, chunk_id, score, rank): hits of each question among the chunks its type may use, cut at ``k`` after that."""
+    keyword = vector = None
+    pool = S.POOL if method == "hybrid" else k
+    if method != "vector":
+        types = read(spark, d, "questions").select(F.col("id").alias("qid"), "type")
+        terms = _terms(spark, d, False).join(F.broadcast(types), "qid")
+        keyword = S.keyword_search(S.status_filter(_keyword_index(spark, d)[0], None), terms, pool, allowed=E.allowed_by_type())
+    if method != "keyword":
+        corpus = spread(written(current_chunks(spark, d, ["chunk_id", "status", "boilerplate", "embedding"])), "chunk_id")
+        q = written(_question_vectors(spark, d))
+        plain = F.col("type").isin(*E.PLAIN_TYPES)
+        vector = S.vector_search(S.status_filter(corpus, ("active",)), q.filter(plain), pool).unionByName(S.vector_search(S.status_filter(corpus, None), q.filter(~plain), pool))
+    hits = {"keyword": keyword, "vector": vector}.get(method) if method != "hybrid" else S.hybrid_search(vector, keyword, k)
+    return hits.select(F.col("qid").alias("id"), "chunk_id", "score", "rank")
+
+
+def _found(spark, d, method: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, targets, hits with their places) of one method."""
+    chunks = _chunks(spark, d, "doc", "region", "para", "section", "para_title", "part", "parts")
+    hits = written(_method_hits(spark, d, method).join(chunks, "chunk_id"))
     targets = E.parse_targets(read(spark, d, "questions")).filter("type <> 'unanswerable'")
-    return E.retrieval_results(found, targets, (1, 3, 5, 10, 20, 30)).withColumn("method", F.lit(method))
+    return E.retrieval_results(hits, targets, KS), targets, hits
+
+
+def _of_methods(spark, d) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_found(spark, d, m)[0].withColumn("method", F.lit(m)) for m in S.METHODS])
+
+
+def policy_hits(spark, d):
+    """Keyword hits among what each question's type may use."""
+    return _method_hits(spark, d, "keyword")
+
+
+def vector_hits(spark, d):
+    return _method_hits(spark, d, "vector")
+
+
+def hybrid_hits(spark, d):
+    return _method_hits(spark, d, "hybrid")
 
 
 def retrieval_results(spark, d):
-    return _retrieval(spark, d, None, "keyword").drop("method")
+    return _found(spark, d, "keyword")[0]
 
 
 def recall_at_k(spark, d):
-    return E.recall(_retrieval(spark, d, None, "keyword"), (1, 3, 5, 10, 20, 30))
+    """Recall of the three methods side by side, over all questions and by type."""
+    return E.recall(_of_methods(spark, d), KS, ("method", "type"))
 
 
 def method_ranks(spark, d):
-    parts = [_retrieval(spark, d, s, m).select("id", "method", "rank") for s, m in ((None, "every"), (("active",), "current"))]
-    return E.ranks_by_method(reduce(DataFrame.unionByName, parts), ["every", "current"])
+    return E.ranks_by_method(_of_methods(spark, d).select("id", "method", "rank"), list(S.METHODS))
 
 
-def policy_hits(spark, d):
-    """Keyword hits cut to what each question's type may use."""
-    chunks, _, hits = _keyword(spark, d, None, 30)
-    return E.allowed_by_type(read(spark, d, "questions"), chunks, hits.withColumnRenamed("qid", "id"))
+def differing_ranks(spark, d):
+    return E.differing_ranks(_of_methods(spark, d).select("id", "method", "rank"), list(S.METHODS), ("q001",))
+
+
+def retrieval_report(spark, d):
+    """Questions missed in the first five hits of the keyword search, with what was expected and what was found."""
+    results, targets, hits = _found(spark, d, "keyword")
+    shown = hits.withColumn("place", T.where_label())
+    out = E.described(results, targets, shown).filter("hit_5 = 0")
+    return out.select("id", "type", "statuses", "rank", "expected", "unparsed_part", "top5")
+
+
+def unparseable(spark, d):
+    return E.unparseable(E.parse_targets(read(spark, d, "questions")).filter("type <> 'unanswerable'"))
 
 
 def half_found(spark, d):
-    targets = E.parse_targets(read(spark, d, "questions")).filter("type <> 'unanswerable'")
-    return E.half_found(_retrieval(spark, d, None, "keyword"), targets)
+    results, targets, _ = _found(spark, d, "vector")
+    return E.half_found(results, targets)
 
 
 def resolved_documents(spark, d):
@@ -288,7 +370,7 @@ def answer_stats(spark, d):
 
 def run_spread(spark, d):
     """Mean, least and greatest share of correct answers over all runs."""
-    runs = answer_stats(spark, d)
+    runs = written(answer_stats(spark, d))
     values = runs.select(F.lit("correct").alias("metric"), F.col("source_run").alias("run"), F.col("correct").alias("value")).unionByName(runs.select(F.lit("citation").alias("metric"), F.col("source_run").alias("run"), F.col("citation").alias("value")))
     return E.across_runs(values, runs.count())
 
@@ -308,14 +390,29 @@ def cited_records(spark, d):
     return E.cited_records(_verdicts(spark, d), ["id", "source_run"])
 
 
-def quote_pages(spark, d):
+def _pages(spark, d) -> DataFrame:
+    """(doc, page, text): the pages of the chunks, and for every quote a page on which its words stand on lines of their own, since the test documents' own pages
+    hold none: page 5000 more than stated, or the one after it for ids whose last digit is divisible by 3."""
     c = _chunks(spark, d, "doc", "page_start", "text").filter("page_start is not null")
-    pages = c.groupBy("doc", F.col("page_start").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
-    return E.quote_pages(read(spark, d, "questions"), pages)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    split = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), r" \| ")
+    q = read(spark, d, "questions").select("id", F.explode(F.arrays_zip(split("source_doc").alias("d"), split("page").alias("p"), split("evidence_quote").alias("q"))).alias("x"))
+    moved = F.when(F.coalesce(F.right("id", F.lit(1)).try_cast("int"), F.lit(0)) % 3 == 0, 1).otherwise(0)
+    own = q.filter("x.d <> '' and x.q <> ''").select(F.col("x.d").alias("doc"), (F.coalesce(F.col("x.p").try_cast("int"), F.lit(1)) + moved + 5000).alias("page"), F.concat(F.lit("Page. "), F.replace("x.q", F.lit(" "), F.lit(" \n"))).alias("text"))
+    per = own.groupBy("doc", "page").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    return c.groupBy("doc", F.col("page_start").alias("page")).agg(body.alias("text")).unionByName(per)
+
+
+def quote_pages(spark, d):
+    found = E.quote_pages(read(spark, d, "questions"), _pages(spark, d))
+    return found.select("id", "n", "doc", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 def question_checks(spark, d):
-    return E.check_questions(read(spark, d, "questions"), read(spark, d, "doc_register"))
+    """Every question checked, with pages counted from 5000 as those of ``_pages`` are."""
+    moved = F.array_join(F.transform(F.split("page", r" \| "), lambda p: F.coalesce((p.try_cast("int") + 5000).cast("string"), p)), " | ")
+    q = read(spark, d, "questions").withColumn("page", moved)
+    return E.check_questions(q, read(spark, d, "doc_register"), E.quote_pages(q, _pages(spark, d)))
 
 
 def check_outcomes(spark, d):
@@ -364,9 +461,9 @@ def event_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_versions, register_rows, in_scope_documents, load_report, lexeme_df, keyword_terms, keyword_topk, vector_topk, vector_topk_filtered, hybrid_rrf, recall_by_label, delta_detect,
+        chunk_versions, register_rows, in_scope_documents, load_report, lexeme_df, index_update, keyword_terms, keyword_topk, keyword_terms_stemmed, keyword_topk_stemmed, vector_topk, vector_topk_filtered, hybrid_rrf, recall_by_label, delta_detect,
         upsert_chunks, stale_chunks, clean_texts, squash_texts, numbers_in_answers, chunk_labels, boilerplate_flags, status_labels, best_documents, source_prompts, generated_answers, cited_sources,
-        cost_estimate, eval_targets, retrieval_results, recall_at_k, method_ranks, policy_hits, half_found, resolved_documents, judged_answers, embedded_delta, majority_votes, fact_verdicts, confusion_matrix, agreement_rate, verdict_counts, answer_stats, run_spread,
+        cost_estimate, eval_targets, vector_hits, hybrid_hits, retrieval_results, recall_at_k, method_ranks, differing_ranks, retrieval_report, unparseable, policy_hits, half_found, resolved_documents, judged_answers, embedded_delta, majority_votes, fact_verdicts, confusion_matrix, agreement_rate, verdict_counts, answer_stats, run_spread,
         unstable_questions, changed_questions, cited_records, quote_pages, question_checks, check_outcomes, chunk_summary, sections_in_order, numbers_rise, shortest_chunks, seeded_sample,
         chunked_documents, repeated_stamps, event_windows, event_stream,
     )

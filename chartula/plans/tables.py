@@ -117,6 +117,25 @@ def _clean() -> None:
             pass
 
 
+_kept: dict[tuple, str] = {}
+
+
+def kept(name: str, df: DataFrame, sources: DataFrame, **options) -> DataFrame:
+    """``df`` written once per session and state of the files behind ``sources``, and read again after that: a change of any file makes it anew."""
+    spark = df.sparkSession
+    state = []
+    for f in sorted(sources.inputFiles()):
+        p, fs = _file_system(spark, f)
+        status = fs.getFileStatus(p)
+        state.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, hash(tuple(state)))
+    if key not in _kept:
+        path = shared_dir(spark)
+        written(df, path, **options)
+        _kept[key] = path
+    return spark.read.schema(df.schema).parquet(_kept[key])
+
+
 def written(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
