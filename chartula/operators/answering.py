@@ -65,6 +65,47 @@ def route(manual: bool = True) -> Column:
     return F.when(F.lit(manual) & (F.col("type") == "change"), "compare").otherwise("current")
 
 
+def routed(questions: DataFrame, records: DataFrame, manual: bool = True) -> DataFrame:
+    """``questions`` (id, type, ..) with ``mode``, ``record`` and ``routing``: questions of status whose document is known get its status record as one
+    more source. ``records`` is (id, file_name), one row for each question with such a document."""
+    own = questions.join(records.select("id", F.col("file_name").alias("_file")), "id", "left")
+    record = F.when(F.lit(manual) & (F.col("type") == "status"), F.col("_file"))
+    label = F.when(record.isNotNull(), F.concat(F.lit("current+status("), record, F.lit(")"))).otherwise(route(manual))
+    return own.withColumns({"mode": route(manual), "record": record, "routing": label}).drop("_file")
+
+
+def with_extras(hits: DataFrame, extras: DataFrame, qid: str = "qid") -> DataFrame:
+    """Sources of all questions, numbered: the hits in their order, then ``extras`` (qid, as_source columns), which have no chunk."""
+    first = hits.withColumn("side", F.coalesce(F.col("side"), F.lit(0)) if "side" in hits.columns else F.lit(0))
+    own = extras.withColumns({"side": F.lit(9), "rank": F.row_number().over(Window.partitionBy(qid).orderBy("doc"))})
+    return two_sides(first.unionByName(own, allowMissingColumns=True), qid)
+
+
+def answer_rows(answers: DataFrame, sources: DataFrame, targets: DataFrame, qid: str = "id") -> DataFrame:
+    """One row per answer (keys.., id, type, answer): what it cites, by number and by chunk, and how that meets the expected places.
+
+    ``sources`` is (id, n, chunk_id, doc, region, para, section); ``targets`` as of ``parse_targets``. The flags are null where nothing is expected;
+    ``citation_match`` also for unanswerable questions.
+    """
+    keys = [c for c in answers.columns if c not in ("answer",)]
+    t = targets.filter("parsed").select(qid, F.col("n").alias("_t"), "doc", "region", "paras", "section_contains")
+    fits = (F.col("paras").isNull() | F.array_contains("paras", F.coalesce("para", F.lit("")))) & (F.col("section_contains").isNull() | F.coalesce("section", F.lit("")).contains(F.coalesce("section_contains", F.lit(""))))
+    held = t.join(sources.select(qid, "n", "doc", "region", "para", "section"), [qid, "doc", "region"], "left").groupBy(qid, "_t").agg(F.array_compact(F.collect_set(F.when(fits, F.col("n")))).alias("_n"))
+    places = held.groupBy(qid).agg(F.collect_list("_n").alias("_places"))
+    refs = sources.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct(F.col("n"), F.concat(F.lit("S"), F.col("n").cast("string"), F.lit("="), F.coalesce("chunk_id", F.concat(F.lit("status:"), "doc"))).alias("ref")))).alias("_refs"))
+    out = answers.join(refs, qid, "left").join(places, qid, "left")
+    n = F.coalesce(F.size("_refs"), F.lit(0))
+    out = out.withColumn("_cited", F.coalesce(cited_numbers(F.col("answer"), F.when(n > 0, n).otherwise(0)), F.expr("array()").cast("array<int>")))
+    text = lambda keep: F.array_join(F.transform(keep, lambda x: x["ref"]), " || ")
+    some = lambda test: F.when(F.size("_places") > 0, test.cast("int"))
+    return out.select(
+        *keys, not_covered(F.col("answer")).cast("int").alias("exact_refusal"), F.array_join(F.col("_cited").cast("array<string>"), ",").alias("cited"),
+        F.coalesce(text(F.filter("_refs", lambda x: F.array_contains("_cited", x["n"]))), F.lit("")).alias("cited_chunk_ids"), F.coalesce(text(F.col("_refs")), F.lit("")).alias("retrieved"),
+        some(F.exists("_places", lambda p: F.size(p) > 0)).alias("expected_in_top5"), some(F.forall("_places", lambda p: F.size(p) > 0)).alias("all_expected_in_top5"),
+        F.when(F.col("type") != "unanswerable", some(F.exists("_places", lambda p: F.arrays_overlap(p, F.col("_cited"))))).alias("citation_match"),
+    )
+
+
 def cache_key(cols: list[str]) -> Column:
     """SHA-256 of the columns as JSON with sorted keys."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)])), 256)
@@ -125,4 +166,4 @@ def estimate_cost(usage: DataFrame, prices: DataFrame, free: tuple[str, ...] = (
     return out.withColumn("cost", F.when(F.col("provider").isin(list(free)), 0.0).otherwise(cost)).drop("_m", "price_in", "price_out", "_m2", "_in2", "_out2")
 
 
-__all__ = ["SUPERSEDED", "NOT_COVERED", "SYSTEM_PROMPT", "COMPARE_PROMPT", "cached", "cache_key", "cited_numbers", "compare_hits", "estimate_cost", "extractive_generator", "not_covered", "prompts", "route", "source_block", "two_sides", "with_labels"]
+__all__ = ["SUPERSEDED", "NOT_COVERED", "SYSTEM_PROMPT", "COMPARE_PROMPT", "cached", "cache_key", "cited_numbers", "compare_hits", "estimate_cost", "extractive_generator", "not_covered", "prompts", "route", "routed", "answer_rows", "with_extras", "source_block", "two_sides", "with_labels"]

@@ -248,6 +248,28 @@ def reused(fresh: DataFrame, earlier: DataFrame, key: str = "id") -> DataFrame:
     return fresh.unionByName(earlier.join(fresh.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def to_answer(routed: DataFrame, earlier: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(questions to be answered, rows copied from an earlier run): only plain 'current' routes are copied, of questions that run has answered."""
+    there = earlier.select(key).distinct().withColumn("_there", F.lit(True))
+    split = routed.join(there, key, "left").withColumn("_copy", (F.col("routing") == "current") & F.coalesce("_there", F.lit(False)))
+    copies = earlier.join(split.filter("_copy").select(key), key, "left_semi")
+    return split.filter("not _copy").select(*routed.columns), copies
+
+
+def parsed_judgement(reply: Column, n_facts: Column) -> Column:
+    """struct<statuses, reason> of a judge's reply in JSON ({"facts": [{"status": ..}, ..], "reason": ..}) with one status per fact: positions it
+    lacks, and statuses that are none of the three, count as missing, surplus ones are left out; a reply that is no JSON gives null."""
+    got = F.from_json(reply, "facts array<struct<status:string>>, reason string", {"mode": "PERMISSIVE"})
+    known = lambda i: F.coalesce(F.get(got["facts"], i - 1)["status"], F.lit("missing"))
+    filled = F.when(n_facts > 0, F.transform(F.sequence(F.lit(1), F.greatest(n_facts, F.lit(1))), lambda i: F.when(known(i).isin("present", "missing", "contradicted"), known(i)).otherwise("missing"))).otherwise(F.expr("array()").cast("array<string>"))
+    return F.when(got["facts"].isNotNull() | got["reason"].isNotNull(), F.struct(filled.alias("statuses"), got["reason"].alias("reason")))
+
+
+def judged_cost(calls: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., calls, input_tokens, output_tokens, cost) of judge calls; a cost that is not known counts 0."""
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), *[F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens")], F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 8).alias("cost"))
+
+
 # ---- checks of a question set ----------------------------------------------------------------------
 
 def quote_pages(questions: DataFrame, pages: DataFrame) -> DataFrame:

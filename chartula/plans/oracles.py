@@ -216,6 +216,48 @@ ORACLES = {
     "sections_in_order": f"with {_CUR} select doc, region, chapter, count(*) as chunks, min(page_start) as first from cur group by 1, 2, 3",
     "numbers_rise": rf"""with {_CUR}, f as (select doc, region, try_cast(nullif(regexp_extract(para, '^(\d{{1,9}})', 1), '') as int) as n, min(page_start) as at_ from cur group by 1, 2, 3),
         l as (select *, lag(n) over (partition by doc, region order by at_ nulls first, n) as before from f where n is not null) select doc, region, bool_and(coalesce(n >= before, true)) as in_order from l group by 1, 2""",
+    "status_records": r"""with j as (select d.*, r.title as rt, r.issue_date as ri, r.entity as re, r.file_name as rf, a.title as at_, a.status as ast, nullif(regexp_extract(coalesce(d.notes, ''), '\b(?:repealed|withdrawn)\s+on\s+(\d{4}-\d{2}-\d{2})', 1, 'i'), '') as sd
+          from doc_register d left join doc_register r on r.file_name = d.replaced_by left join doc_register a on a.file_name = d.amends),
+        l as (select *, case when status = 'active' then 'CURRENT' when status = 'incorporated' then 'INCORPORATED: its changes are already part of ' || coalesce(at_, 'the current direction')
+          when status in ('repealed', 'withdrawn') then upper(status) || coalesce(' on ' || sd, '') || case when rt is not null then ', replaced' || case when rf is not null and re = 'nbfc' and entity is distinct from 'nbfc' then ' for NBFCs' else '' end || ' by ' || rt || ' (issued ' || coalesce(strftime(ri, '%Y-%m-%d'), 'None') || ')'
+            when at_ is not null and ast is not distinct from status then ' (amendment to ' || at_ || ', which is also ' || status || ')' else '' end || ' - NOT in force'
+          when status = 'reference' then 'REFERENCE: FAQ page, not a direction; check against current rules' else upper(status) end as label from j)
+        select file_name, concat_ws(chr(10), 'Document: ' || coalesce(title, '') || ' (' || file_name || ')', 'Status: ' || status, 'Status label: ' || label, 'Status date: ' || sd, 'Issue date: ' || coalesce(strftime(issue_date, '%Y-%m-%d'), 'not recorded'),
+          'Updated as on: ' || strftime(updated_as_on, '%Y-%m-%d'), case when replaced_by <> '' then 'Replaced by: ' || coalesce(rt, 'None') || ' (' || replaced_by || '), issued ' || coalesce(strftime(ri, '%Y-%m-%d'), 'None') end,
+          case when amends <> '' then 'Amends: ' || coalesce(at_, 'None') || ' (' || amends || ')' end, case when notes <> '' then 'Notes: ' || notes end) as record, coalesce(title, '') || ' [' || label || '] › status record' as header from l""",
+    "routes": """select q.id, q.type, case when q.type = 'change' then 'compare' else 'current' end as mode, case when q.type = 'status' then r.file_name end as record,
+        case when q.type = 'status' and r.file_name is not null then 'current+status(' || r.file_name || ')' when q.type = 'change' then 'compare' else 'current' end as routing
+        from questions q left join doc_register r on r.file_name = trim(string_split(q.source_doc, '|')[1])""",
+    "answer_rows": rf"""with {_GOLD}, {_KEYWORD}, {_TARGETS}, {_FUSED}, s5 as (select qid as id, rank as n, h.chunk_id, c.doc, c.region, c.para, c.section from vhits h join cur c using (chunk_id) where rank <= 5),
+        ans as (select id, type, system_answer as answer from gold g where source_run = (select max(source_run) from gold h where h.id = g.id)),
+        nums as (select id, list_filter(list_transform(regexp_extract_all(array_to_string(regexp_extract_all(coalesce(answer, ''), '\[(S\d+(?:\s*[,;]\s*S?\d+)*)\]', 1), ' '), '\d+'), lambda x: try_cast(x as int)), lambda x: x between 1 and coalesce(k, 0)) as xs from ans left join (select id, count(*) as k from s5 group by 1) using (id)),
+        cites as (select id, list_filter(xs, lambda x, i: list_position(xs, x) = i) as cs from nums),
+        t as (select * from targets where parsed),
+        held as (select t.id, t.n as tn, list(s5.n) filter ({_FITS.replace('c.', 's5.')}) as ns from t left join s5 on s5.id = t.id and s5.doc = t.doc and s5.region = t.region group by 1, 2),
+        flags as (select h.id, max((len(ns) > 0)::int) as some_, min((coalesce(len(ns), 0) > 0)::int) as every_, max(coalesce(len(list_intersect(ns, cs)) > 0, false)::int) as met from held h left join cites using (id) group by 1),
+        refs as (select s5.id, string_agg('S' || n || '=' || chunk_id, ' || ' order by n) as retrieved, string_agg('S' || n || '=' || chunk_id, ' || ' order by n) filter (list_contains(cs, n)) as cited_ids from s5 join cites using (id) group by 1)
+        select a.id, a.type, (coalesce(rtrim(answer), '') = 'The supplied documents do not cover this.')::int as exact_refusal, array_to_string(cs, ',') as cited, coalesce(cited_ids, '') as cited_chunk_ids, coalesce(retrieved, '') as retrieved,
+          coalesce(some_, case when f.id is not null then 0 end) as expected_in_top5, every_ as all_expected_in_top5, case when a.type <> 'unanswerable' then met end as citation_match
+        from ans a join cites using (id) left join flags f on f.id = a.id left join refs r on r.id = a.id""",
+    "diagnoses": rf"""with {_GOLD}, q as (select id, list_filter(list_transform(string_split(coalesce(source_doc, ''), ' | '), lambda x: regexp_replace(x, '\.[^.]*$', '')), lambda x: x <> '') as docs from questions),
+        s as (select g.*, len(docs) > 0 and len(list_filter(docs, lambda x: not contains(coalesce(cited_chunk_ids, ''), x))) = 0 as every_, trim(coalesce(system_answer, '')) = 'Not covered by the rulebook.' as exact from gold g join q using (id))
+        select id, source_run, case when verdict = 'correct' then '' when type = 'unanswerable' or every_ then 'generation_error' else 'retrieval_miss' end as diagnosis, case when exact then case when type = 'unanswerable' then 'correct' else 'incorrect' end end as settled from s""",
+    "reused_rows": f"""with {_GOLD}, r as (select q.id, case when q.type = 'status' and d.file_name is not null then 'status' when q.type = 'change' then 'compare' else 'current' end as routing from questions q left join doc_register d on d.file_name = trim(string_split(q.source_doc, '|')[1])),
+        a as (select * from gold where source_run = (select min(source_run) from gold)), b as (select * from gold where source_run = (select max(source_run) from gold)), copied as (select id from r where routing = 'current' and id in (select id from a))
+        select id, source_run, verdict from a where id in (select id from copied) union all select id, source_run, verdict from b where id in (select id from r) and id not in (select id from copied)""",
+    "judge_replies": f"""with {_GOLD}, f as (select id, source_run, list_filter(list_transform(string_split(coalesce(key_facts, ''), '|'), lambda x: trim(x)), lambda x: x <> '') as facts from gold),
+        s as (select id, source_run, list_transform(range(1, len(facts) + 1), lambda i: case when i < len(facts) and length(facts[i]) % 2 = 0 then 'present' else 'missing' end) as st from f),
+        p as (select *, len(list_filter(st, lambda x: x = 'present')) as k from s)
+        select id, source_run, array_to_string(st, ',') as statuses, case when k = 0 then 'incorrect' when k = len(st) then 'correct' else 'partial' end as verdict from p""",
+    "judge_costs": f"with {_GOLD} select source_run, count(*) as calls, sum(coalesce(length(question), 0))::bigint as input_tokens, sum(coalesce(length(system_answer), 0))::bigint as output_tokens, round(sum(case when type <> 'simple' then length(question) / 1000.0::double else 0 end), 8) as cost from gold group by 1",
+    "cache_counts": "select count(*) filter (question in (select question from questions where type = 'simple')) as hits, count(*) filter (question not in (select question from questions where type = 'simple')) as misses from questions",
+    "graded": f"with {_GOLD} select id, source_run, verdict as my_verdict from gold where verdict is not null",
+    "markdown_report": f"""with {_GOLD}, v as (select type, count(*) filter (verdict = 'correct') as c, count(*) filter (verdict = 'partial') as p, count(*) filter (verdict = 'incorrect') as i from gold where verdict is not null group by 1),
+        l as (select -2 as o, '| type | correct | partial | incorrect |' as text union all select -1, '|---|---|---|---|' union all select row_number() over (order by type), '| ' || type || ' | ' || c || ' | ' || p || ' | ' || i || ' |' from v)
+        select cast(row_number() over (order by o) - 1 as int) as line, text from l""",
+    "chunk_findings": f"""with {_CUR} select chunk_id, 'continuation' as finding, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10))[2:3], lambda x: x[1:70]), ' / ') as detail from cur where part > 1
+        union all select chunk_id, 'boilerplate', coalesce(text, '')[1:90] from cur where boilerplate union all select chunk_id, 'amended', amendment_note[1:120] from cur where amendment_note <> '' union all select chunk_id, 'over_limit', length(text)::varchar from cur where length(text) > 1800""",
+    "searched": f"with {_KEYWORD}, {_hits('where chunk_id in ' + _ACTIVE, 5)} select qid, chunk_id, h.score, cast(h.rank as int) as rank, c.doc, c.para from hits h join cur c using (chunk_id)",
     "shortest_chunks": f"with {_CUR} select chunk_id, length(coalesce(text, ''))::int as chars from cur order by chars, chunk_id limit 3",
     "seeded_sample": "select id, type from questions order by md5(id || '-7'), id limit 10",
     "event_windows": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",

@@ -450,6 +450,90 @@ def repeated_stamps(spark, d):
     return C.repeated_stamps(items)
 
 
+def status_records(spark, d):
+    return R.lineage(read(spark, d, "doc_register")).withColumn("status_label", R.status_label()).select("file_name", R.status_text().alias("record"), R.as_source()["header"].alias("header"))
+
+
+def routes(spark, d):
+    """How each question is answered; questions of status get the record of the registered document they name first."""
+    q = read(spark, d, "questions").select("id", "type", F.trim(F.split_part("source_doc", F.lit("|"), F.lit(1))).alias("doc"))
+    known = q.join(read(spark, d, "doc_register").select(F.col("file_name").alias("doc")), "doc").select("id", F.col("doc").alias("file_name"))
+    return A.routed(q.select("id", "type"), known)
+
+
+def answer_rows(spark, d):
+    """Answers of the latest run beside the five sources the vector search gives for their questions."""
+    v = _verdicts(spark, d)
+    last = v.groupBy("id").agg(F.max("source_run").alias("source_run"))
+    answers = v.join(last, ["id", "source_run"]).select("id", "type", F.col("system_answer").alias("answer"))
+    hits = _method_hits(spark, d, "vector", 5).join(_chunks(spark, d, "doc", "region", "para", "section"), "chunk_id").withColumnRenamed("rank", "n")
+    return A.answer_rows(answers, hits, E.parse_targets(read(spark, d, "questions")))
+
+
+def _scored(spark, d):
+    """Verdicts with whether all expected documents are cited, by their names."""
+    q = read(spark, d, "questions").select("id", F.filter(F.transform(F.split(F.coalesce("source_doc", F.lit("")), r" \| "), lambda x: F.regexp_replace(x, r"\.[^.]*$", "")), lambda x: x != "").alias("docs"))
+    v = _verdicts(spark, d).join(q, "id")
+    seen = F.forall("docs", lambda x: F.coalesce("cited_chunk_ids", F.lit("")).contains(x))
+    exact = (F.trim(F.coalesce("system_answer", F.lit(""))) == "Not covered by the rulebook.").cast("int")
+    return v.withColumns({"all_expected_found": F.when(F.size("docs") > 0, seen.cast("int")), "exact_refusal": exact})
+
+
+def diagnoses(spark, d):
+    return _scored(spark, d).select("id", "source_run", E.diagnosis().alias("diagnosis"), E.refusal_verdict().alias("settled"))
+
+
+def reused_rows(spark, d):
+    """The last run's rows for what is answered again, the first run's for what is copied."""
+    v = _verdicts(spark, d).select("id", "source_run", "verdict")
+    runs = v.agg(F.min("source_run").alias("a"), F.max("source_run").alias("b"))
+    first, last = [v.join(F.broadcast(runs.select(F.col(c).alias("source_run"))), "source_run", "left_semi") for c in "ab"]
+    again, copies = E.to_answer(routes(spark, d), first)
+    return E.reused(last.join(again.select("id"), "id", "left_semi"), copies).select("id", "source_run", "verdict")
+
+
+def judge_replies(spark, d):
+    """Statuses read from replies of a judge: every other reply lacks its last fact, some are no JSON."""
+    v = _verdicts(spark, d).select("id", "source_run", E.split_facts(F.col("key_facts")).alias("facts"))
+    n = F.size("facts")
+    said = F.when(F.length("id") + F.length("source_run") % 3 == 0, "not json").otherwise(
+        F.concat(F.lit('{"facts": ['), F.array_join(F.transform(F.slice("facts", 1, F.greatest(n - 1, F.lit(0))), lambda x: F.when(F.length(x) % 2 == 0, '{"status": "present"}').otherwise('{"status": "odd"}')), ", "), F.lit('], "reason": "r"}')))
+    got = E.parsed_judgement(said, n)
+    return v.select("id", "source_run", F.array_join(got["statuses"], ",").alias("statuses"), E.verdict_from_facts(got["statuses"]).alias("verdict"))
+
+
+def judge_costs(spark, d):
+    v = _verdicts(spark, d).select("source_run", F.length("question").alias("input_tokens"), F.length("system_answer").alias("output_tokens"), F.when(F.col("type") != "simple", F.length("question") / 1000.0).alias("cost"))
+    return E.judged_cost(v, ["source_run"])
+
+
+def cache_counts(spark, d):
+    """Hits and misses of requests of which those about simple questions are already answered."""
+    q = read(spark, d, "questions").select("id", "question", "type")
+    cache = q.filter("type = 'simple'").select(A.cache_key(["question"]).alias("key"), F.lit("x").alias("answer"))
+    return A.cached(q, cache.dropDuplicates(["key"]), lambda df: df.withColumn("answer", F.upper("question")), ["question"])[2]
+
+
+def graded(spark, d):
+    return E.graded_rows(_verdicts(spark, d).filter("verdict is not null or trim(coalesce(my_verdict, '')) = ''"), "my_verdict").select("id", "source_run", "my_verdict")
+
+
+def markdown_report(spark, d):
+    """Verdicts by type as the lines of a Markdown table."""
+    lines = K.markdown_table(verdict_counts(spark, d).orderBy("type")).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+def chunk_findings(spark, d):
+    return C.findings(_chunks(spark, d, "text", "part", "boilerplate", "amendment_note"))
+
+
+def searched(spark, d):
+    """The search as a whole, by keyword, with columns of the chunks."""
+    corpus = written(_chunks(spark, d, "status", "boilerplate", "tsv", "doc", "para"))
+    return S.search(corpus, _questions(spark, d), 5, ("active",), False, "keyword", stem=False, columns=("doc", "para"))
+
+
 def event_windows(spark, d):
     return V.event_windows(read(spark, d, "events")).withColumn("total", F.round("total", 4)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
@@ -465,6 +549,7 @@ QUERIES = {
         upsert_chunks, stale_chunks, clean_texts, squash_texts, numbers_in_answers, chunk_labels, boilerplate_flags, status_labels, best_documents, source_prompts, generated_answers, cited_sources,
         cost_estimate, eval_targets, vector_hits, hybrid_hits, retrieval_results, recall_at_k, method_ranks, differing_ranks, retrieval_report, unparseable, policy_hits, half_found, resolved_documents, judged_answers, embedded_delta, majority_votes, fact_verdicts, confusion_matrix, agreement_rate, verdict_counts, answer_stats, run_spread,
         unstable_questions, changed_questions, cited_records, quote_pages, question_checks, check_outcomes, chunk_summary, sections_in_order, numbers_rise, shortest_chunks, seeded_sample,
-        chunked_documents, repeated_stamps, event_windows, event_stream,
+        chunked_documents, repeated_stamps, status_records, routes, answer_rows, diagnoses, reused_rows, judge_replies, judge_costs, cache_counts, graded, markdown_report, chunk_findings, searched,
+        event_windows, event_stream,
     )
 }

@@ -105,7 +105,11 @@ def column_counts(spark: SparkSession, database: str = "default") -> dict[str, i
 
 
 def point_lookup(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.filter(F.col(key) == value)
+    """The row of a key; without one the query fails when it is run, naming the key."""
+    found = df.filter(F.col(key) == value)
+    missing = F.raise_error(F.lit(f"no row with {key} {value}")).cast("boolean")
+    least = found.agg(F.count(F.lit(1)).alias("_n")).filter(F.when(F.col("_n") == 0, missing).otherwise(True))
+    return found.join(F.broadcast(least)).drop("_n")
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:

@@ -83,12 +83,49 @@ def test_statuses_empty_means_all_and_unknown_method(spark):
 
 @pytest.mark.parametrize("method", S.METHODS)
 def test_search_methods(spark, method):
-    c = corpus(spark, vectors(60))
+    c = corpus(spark, vectors(60)).withColumn("tsv", F.concat(F.lit("'alpha':1 '"), F.split("text", " ")[2], F.lit("':3,9A")))
     q = spark.createDataFrame([(1, "which word7 and word8", [1.0] * 12), (2, "the", [0.5] * 12)], "qid int, text string, vec array<float>")
     got = S.search(c, q, 3, None, True, method).collect()
     assert all(r["rank"] <= 3 for r in got) and len({(r.qid, r.chunk_id) for r in got}) == len(got) and {r.qid for r in got} >= {1}
 
 
+TSV = [("a", "'run':1,4 'bank':2A", "active"), ("b", "'run' 'it''s':2 'bank':3B,4C", "active"), ("c", None, "active"), ("d", "", "repealed"), ("e", "'run':7 'loan':1", "repealed"), ("f", "'loan':2 'loan':5", "active")]
+
+
+def test_keyword_search_over_stored_vectors(spark):
+    """Stems, stop words and question words of the query; a place weighs by its letter; a lexeme without places is found and scores nothing."""
+    posts = S.postings(spark.createDataFrame(TSV, "chunk_id string, tsv string, status string"), keep=("status",))
+    assert {r.lexeme: r.df for r in S.lexeme_df(posts).collect()} == {"run": 3, "bank": 2, "it's": 1, "loan": 2}
+    q = spark.createDataFrame([(1, "When are the banks running?", "simple"), (2, "", "simple"), (3, None, "change"), (4, "Which loans?", "change")], "qid int, text string, type string")
+    terms = S.keyword_terms(q, S.lexeme_df(posts), spark.createDataFrame([(6,)], "n int"))
+    assert {(r.qid, r.lexeme) for r in terms.collect()} == {(1, "bank"), (1, "run"), (4, "loan")}
+    got = [(r.qid, r.chunk_id, r.score, r["rank"]) for r in S.keyword_search(posts, terms.join(q.select("qid", "type"), "qid"), 2, allowed=E.allowed_by_type()).orderBy("qid", "rank").collect()]
+    assert got == [(1, "a", 1.2, 1), (1, "b", 0.6, 2), (4, "f", 0.2, 1), (4, "e", 0.1, 2)]
+
+
+def test_updated_index_equals_a_new_one(spark):
+    old = spark.createDataFrame(TSV, "chunk_id string, tsv string, status string")
+    new = [("a", "'bank':2", "active"), ("e", None, "repealed"), ("n", "'new':1 'run':2", "active")]
+    changes = spark.createDataFrame(new, old.schema)
+    posts = S.postings(old, keep=("status",))
+    got = S.updated_index(posts, S.lexeme_df(posts), changes, keep=("status",))
+    whole = spark.createDataFrame([r for r in TSV if r[0] not in {x[0] for x in new}] + new, old.schema)
+    want = S.postings(whole, keep=("status",))
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert rows(got[0], "chunk_id", "lexeme", "weight") == rows(want, "chunk_id", "lexeme", "weight") and rows(got[1], "lexeme", "df") == rows(S.lexeme_df(want), "lexeme", "df")
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    from chartula.plans.tables import kept
+
+    path = f"file://{tmp_path}/t"
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        for _ in range(2):
+            source = spark.read.parquet(path)
+            assert kept("count", source.selectExpr("count(*) as n"), source).first().n == n
+
+
 def test_hybrid_bound_and_ties(spark):
     v = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "z", 21)], "qid int, chunk_id string, rank int")
     k = spark.createDataFrame([(1, "b", 1), (1, "c", 2)], "qid int, chunk_id string, rank int")
@@ -203,6 +240,56 @@ def test_targets_and_results(spark):
     assert E.recall(E.retrieval_results(hits.limit(0), t.limit(0))).filter("type is not null").count() == 0
 
 
+def test_question_checks(spark):
+    rows = [
+        ("1", "simple", "a.pdf", "2", "ten days", "within ten days"), ("2", "simple", "a.pdf", "3", "yes", "within ten days"), ("3", "change", "b.pdf", "none", "five", "not there"), ("4", "unanswerable", None, None, None, None),
+        ("5", "simple", "a.pdf | c.pdf", "1", "x", "y"), ("6", "multi_part", "b.pdf | z.pdf", "1 | 1", "7", "other words | gone"), ("7", None, None, None, None, None),
+    ]
+    q = spark.createDataFrame(rows, "id string, type string, source_doc string, page string, expected_answer string, evidence_quote string")
+    pages = spark.createDataFrame([("a.pdf", 2, "Pay within ten days."), ("b.pdf", 1, "Some other words")], "doc string, page int, text string")
+    reg = spark.createDataFrame([("a.pdf", "active"), ("b.pdf", "repealed"), ("c.pdf", "active")], "file_name string, status string")
+    got = {r.id: (r.outcome, r.problems) for r in E.check_questions(q, reg, E.quote_pages(q, pages)).collect()}
+    assert got == {
+        "1": ("pass", ""), "2": ("fail", "quote on p2 of a.pdf, not p3"), "3": ("fail", "quote not found in b.pdf; answer numbers not in quote: 5"), "4": ("skipped", ""), "5": ("fail", "parts 2/1/1"),
+        "6": ("fail", "z.pdf not among the documents; answer numbers not in quote: 7; multi_part question sourced from repealed doc b.pdf; z.pdf not in register"), "7": ("fail", " not among the documents"),
+    }
+
+
+def test_reports(spark):
+    q = spark.createDataFrame([("1", "simple", "a.pdf | b.pdf", "para 1 | para 2"), ("2", "change", "x", "somewhere"), ("3", "change", "a.pdf", "para 9")], "id string, type string, source_doc string, source_section string")
+    t = E.parse_targets(q)
+    hits = spark.createDataFrame([("1", 1, "a.pdf", "main", "1", None, "para 1", 0.5), ("1", 2, "c.pdf", "main", "4", None, "para 4", 0.25)], "id string, rank int, doc string, region string, para string, section string, place string, score double")
+    res = E.retrieval_results(hits, t)
+    assert [r.id for r in E.half_found(res, t).collect()] == ["1"] and [tuple(r) for r in E.unparseable(t).collect()] == [("2", "change", "x somewhere")]
+    got = {r.id: r for r in E.described(res, t, hits).collect()}
+    assert got["1"].expected == "a.pdf para 1; b.pdf para 2" and got["1"].statuses == "active" and got["1"].top5 == "a.pdf para 1 (0.500) || c.pdf para 4 (0.250)" and got["3"].top5 == ""
+    ranks = spark.createDataFrame([("1", "x", 1), ("1", "y", 2), ("2", "x", 3), ("2", "y", 3), ("3", "x", None)], "id string, method string, rank int")
+    assert {r.id for r in E.differing_ranks(ranks, ["x", "y"], ("2",)).collect()} == {"1", "2"}
+
+
+def test_best_documents_against_brute_force(spark):
+    import difflib
+    import random
+
+    r = random.Random(3)
+    words = ["digital", "lending", "directions", "gold", "loans", "2021", "march", "master", "deposit", "customer", "amendment"]
+    title = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 5)))
+    reg = spark.createDataFrame([(f"f{i:03d}.pdf", title(), r.choice(["amendment", "master_direction"]), None) for i in range(150)], "file_name string, title string, doc_type string, issue_date date")
+    q = spark.createDataFrame([(i, title()) for i in range(25)], "qid int, text string")
+    both = q.withColumn("t", R.match_tokens(F.col("text"))).crossJoin(reg.withColumn("d", R.document_tokens())).collect()
+    want = {}
+    for x in both:
+        t, d = set(x.t), set(x.d)
+        lost = [w for w in t - d if w in R.MONTHS or w.startswith(("19", "20")) and len(w) == 4 and w.isdigit()]
+        s = 0.75 * len(t & d) / len(t) + 0.25 * difflib.SequenceMatcher(None, x.text.lower(), x.title.lower()).ratio() - 0.3 * len(lost) - 0.1 * (x.doc_type == "amendment" and "amendment" not in t) if t else 0.0
+        want.setdefault(x.qid, []).append((s, x.file_name))
+    got = {}
+    for x in R.best_documents(reg, q).orderBy("qid", "rank").collect():
+        got.setdefault(x.qid, []).append(x.score)
+    for k, rows in want.items():
+        assert [round(s, 3) for s in got[k]] == pytest.approx(sorted((s for s, _ in rows), reverse=True)[:4], abs=6e-4)
+
+
 def test_quotes_across_pages(spark):
     q = spark.createDataFrame([("1", "d", "ends here and starts"), ("2", "d", "whole on two"), ("3", "d", "nowhere")], "id string, source_doc string, evidence_quote string")
     p = spark.createDataFrame([("d", 1, "a text ends here"), ("d", 2, "and starts. Whole on two")], "doc string, page int, text string")

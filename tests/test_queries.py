@@ -7,8 +7,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from chartula.plans.oracles import ORACLES
-from chartula.plans.queries import QUERIES
+from chartula.plans import cases, oracles, queries
+
+QUERIES, ORACLES = queries.QUERIES | cases.CASES, oracles.ORACLES | cases.CASE_ORACLES
 
 
 def plain(v):
