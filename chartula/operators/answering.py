@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import location, page_label, where_label
+from ..plans.tables import list_names, written
 from .register import SUPERSEDED, lineage, status_label
 
 NOT_COVERED = "The supplied documents do not cover this."
@@ -125,6 +126,29 @@ def cached(requests: DataFrame, cache: DataFrame, generate: Callable[[DataFrame]
     return keyed.join(grown, "key", "left"), grown, counts
 
 
+class AnswerCache:
+    """Answers kept under ``path`` across sessions: (key, answer), appended to. Each request is generated once, whoever asked for it first."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def table(self) -> DataFrame:
+        schema = "key string, answer string"
+        if not any(n.endswith(".parquet") for n in list_names(self.spark, self.path)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path).groupBy("key").agg(F.min("answer").alias("answer"))
+
+    def answers(self, requests: DataFrame, generate: Callable[[DataFrame], DataFrame], cols: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(requests with ``answer``, counts of hits and misses). What is missing is generated and appended before this returns; failed ones (null) are
+        not kept, so they are tried again next time."""
+        before = self.table()
+        keyed = requests.withColumn("key", cache_key(cols))
+        counts = written(keyed.join(before.select("key", F.lit(True).alias("_hit")), "key", "left").agg(F.count_if(F.col("_hit").isNotNull()).alias("hits"), F.count_if(F.col("_hit").isNull()).alias("misses")))
+        missing = keyed.dropDuplicates(["key"]).join(before.select("key"), "key", "left_anti")
+        generate(missing).select("key", "answer").filter(F.col("answer").isNotNull()).write.mode("append").parquet(self.path)
+        return keyed.join(self.table(), "key", "left"), counts
+
+
 def extractive_generator(prompt: str = "prompt") -> Callable[[DataFrame], DataFrame]:
     """Deterministic stand-in for a language model: the source sentence that shares most words with the question, cited; else the refusal."""
 
@@ -166,4 +190,4 @@ def estimate_cost(usage: DataFrame, prices: DataFrame, free: tuple[str, ...] = (
     return out.withColumn("cost", F.when(F.col("provider").isin(list(free)), 0.0).otherwise(cost)).drop("_m", "price_in", "price_out", "_m2", "_in2", "_out2")
 
 
-__all__ = ["SUPERSEDED", "NOT_COVERED", "SYSTEM_PROMPT", "COMPARE_PROMPT", "cached", "cache_key", "cited_numbers", "compare_hits", "estimate_cost", "extractive_generator", "not_covered", "prompts", "route", "routed", "answer_rows", "with_extras", "source_block", "two_sides", "with_labels"]
+__all__ = ["SUPERSEDED", "NOT_COVERED", "SYSTEM_PROMPT", "COMPARE_PROMPT", "AnswerCache", "cached", "cache_key", "cited_numbers", "compare_hits", "estimate_cost", "extractive_generator", "not_covered", "prompts", "route", "routed", "answer_rows", "with_extras", "source_block", "two_sides", "with_labels"]

@@ -59,6 +59,24 @@ def embed_delta(changes: DataFrame, text: str, vector: str, embedder: Callable[[
     return kept.unionByName(fresh.withColumn(vector, (embedder or hashing_embedder())(F.col(text))))
 
 
+class QuotaError(RuntimeError):
+    """The account has nothing left: trying again is of no use, and the run ends."""
+
+
+def throttled(call: Callable[[str], str], per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """Calls at most ``per_minute`` times a minute, evenly spaced, in each Python worker."""
+    last = [float("-inf")]
+
+    def run(x: str) -> str:
+        pause = last[0] + 60 / per_minute - clock()
+        if pause > 0:
+            sleep(pause)
+        last[0] = clock()
+        return call(x)
+
+    return run
+
+
 def with_retries(call: Callable[[str], str], tries: int = 5, wait: float = 1.0, limit: float = 120.0, sleep: Callable[[float], None] = time.sleep, retry_on: tuple = (TimeoutError, ConnectionError)) -> Callable[[str], str]:
     """Calls again after growing waits with jitter; a wait above ``limit`` or the last failure is raised."""
 
@@ -78,7 +96,7 @@ def with_retries(call: Callable[[str], str], tries: int = 5, wait: float = 1.0,
 
 
 def calling_generator(call: Callable[[str], str], **retries) -> Callable[[DataFrame], DataFrame]:
-    """A generator from a function of the prompt; failures that last leave a null answer."""
+    """A generator from a function of the prompt; failures that last leave a null answer, but without quota the run ends."""
 
     @F.pandas_udf(StringType())
     def answer(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -87,6 +105,8 @@ def calling_generator(call: Callable[[str], str], **retries) -> Callable[[DataFr
         def safe(x):
             try:
                 return run(x)
+            except QuotaError:
+                raise
             except Exception:
                 return None
 

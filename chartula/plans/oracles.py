@@ -261,4 +261,6 @@ ORACLES = {
     "shortest_chunks": f"with {_CUR} select chunk_id, length(coalesce(text, ''))::int as chars from cur order by chars, chunk_id limit 3",
     "seeded_sample": "select id, type from questions order by md5(id || '-7'), id limit 10",
     "event_windows": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "event_stream": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "chosen_questions": "select id, type from questions where id in ('q003', 'q005')",
 }

@@ -539,7 +539,11 @@ def event_windows(spark, d):
 
 
 def event_stream(spark, d):
-    return V.run_available(spark, f"{d}/events.parquet")
+    return V.run_available(spark, f"{d}/events.parquet").withColumn("total", F.round("total", 4)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+def chosen_questions(spark, d):
+    return K.chosen(read(spark, d, "questions").select("id", "type"), "id", ["q005", "q003", "q100", "none"], 2)
 
 
 QUERIES = {
@@ -550,6 +554,6 @@ QUERIES = {
         cost_estimate, eval_targets, vector_hits, hybrid_hits, retrieval_results, recall_at_k, method_ranks, differing_ranks, retrieval_report, unparseable, policy_hits, half_found, resolved_documents, judged_answers, embedded_delta, majority_votes, fact_verdicts, confusion_matrix, agreement_rate, verdict_counts, answer_stats, run_spread,
         unstable_questions, changed_questions, cited_records, quote_pages, question_checks, check_outcomes, chunk_summary, sections_in_order, numbers_rise, shortest_chunks, seeded_sample,
         chunked_documents, repeated_stamps, status_records, routes, answer_rows, diagnoses, reused_rows, judge_replies, judge_costs, cache_counts, graded, markdown_report, chunk_findings, searched,
-        event_windows, event_stream,
+        chosen_questions, event_windows, event_stream,
     )
 }

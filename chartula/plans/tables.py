@@ -81,6 +81,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move_path(spark: SparkSession, source: str, to: str) -> None:
+    """Puts ``source`` in the place of ``to``."""
+    a, fs = _file_system(spark, source)
+    b, _ = _file_system(spark, to)
+    fs.delete(b, True)
+    if not fs.rename(a, b):
+        raise OSError(f"cannot move {source}")
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names below a folder; none if it does not exist."""
     p, fs = _file_system(spark, path)

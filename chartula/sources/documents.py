@@ -204,5 +204,18 @@ def pdf_links(links: DataFrame, title: str | None = None) -> DataFrame:
     return own if title is None else own.filter(link_title(F.concat_ws(" ", "text", "around")).contains(link_title(F.lit(title))))
 
 
+def find_pdfs(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(title, href) for each row of ``wanted`` (title, url): the link to a PDF file on that page whose text or row holds the title; else the first
+    such link of a page that a link with the title leads to; else the page's only PDF file. ``pages`` is (url, html), with the pages led to."""
+    title = link_title(F.col("title"))
+    links = page_links(pages).withColumns({"_pdf": F.lower("href").rlike(r"\.pdf(?:[?#]|$)"), "_said": link_title(F.concat_ws(" ", "text", "around"))})
+    met = wanted.join(links, "url")
+    own = met.filter(F.col("_pdf") & F.col("_said").contains(title)).select("title", "href", F.lit(0).alias("_way"))
+    named = met.filter(~F.col("_pdf") & link_title(F.col("text")).contains(title)).select("title", F.col("href").alias("url"))
+    beyond = named.join(links.filter("_pdf").select("url", "href"), "url").select("title", "href", F.lit(1).alias("_way"))
+    only = met.filter("_pdf").groupBy("title").agg(F.min("href").alias("href"), F.count_distinct("href").alias("_k")).filter("_k = 1").select("title", "href", F.lit(2).alias("_way"))
+    return own.unionByName(beyond).unionByName(only).groupBy("title").agg(F.min(F.struct("_way", "href")).alias("_b")).select("title", "_b.href")
+
+
 def is_pdf(content: Column) -> Column:
     return F.coalesce(F.substring(content, 1, 4) == F.unhex(F.lit("25504446")), F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DateType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import blank_to_null
+from ..plans.tables import move_path
 
 _TYPES = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "date": DateType(), "array<float>": ArrayType(FloatType())}
 
@@ -94,6 +95,19 @@ def update_column(df: DataFrame, updates: DataFrame, key: str, column: str) -> D
     return df.join(new, key, "left").withColumn(column, F.when(F.col("_set"), F.col("_new")).otherwise(F.col(column))).select(*df.columns)
 
 
+def replace_csv(df: DataFrame, path: str) -> None:
+    """A CSV folder replaced by ``df``, which may have been read from it: written beside it, then swapped."""
+    beside = f"{path.rstrip('/')}_new"
+    write_csv(df, beside)
+    move_path(df.sparkSession, beside, path)
+
+
+def chosen(df: DataFrame, key: str, ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of the listed keys (all without a list), of these the first ``limit`` in order of the key."""
+    own = df if not ids else df.filter(F.col(key).isin(list(ids)))
+    return own if limit is None else own.orderBy(key).limit(limit)
+
+
 def create_tables(spark: SparkSession, database: str = "default") -> None:
     for name, schema in (("register", REGISTER), ("chunks", CHUNKS)):
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.maintenance import last_wins, upsert
-from ..plans.tables import drop_path, shared_dir
+from ..plans.tables import drop_path, list_names, shared_dir
 
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
@@ -17,7 +17,7 @@ def event_windows(events: DataFrame, width: str = "1 day", late: str | None = No
 
 
 def run_available(spark: SparkSession, path: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts of all event files under ``path`` by a stream that ends when it has read them; windows still open stay in the state."""
+    """Counts of all event files under ``path`` by a stream that ends when it has read them."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     one_file = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
@@ -25,15 +25,27 @@ def run_available(spark: SparkSession, path: str, width: str = "1 day", late: st
     source = source.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString()) if one_file else source.parquet(path)
     stream = event_windows(source, width, late)
     out = shared_dir(spark)
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
+
+    # updates, not only closed windows: those still open when the files end are given too, each as it stood last
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    schema = ", ".join(f"{n} {t}" for n, t in stream.dtypes)
+    rows = spark.read.schema(f"{schema}, batch int").parquet(f"{out}/rows")
+    return last_wins(rows, ["start", "event_type"], "batch").drop("batch")
 
 
 class ChunkLoader:
-    """Upserts micro-batches of chunks into numbered versions of a table under ``path``; a batch that is run again changes nothing."""
+    """Upserts micro-batches of chunks into numbered versions of a table under ``path``; a batch that is run again changes nothing.
+
+    A loader opened again, as after a restart of its stream, goes on from the last version that was written completely.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema, self.version = spark, path, schema, 0
+        self.spark, self.path, self.schema = spark, path, schema
+        known = [int(n[1:]) for n in list_names(spark, path) if n[:1] == "v" and n[1:].isdigit() and "_SUCCESS" in list_names(spark, f"{path}/{n}")]
+        self.version = max(known, default=0)
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}") if self.version else self.spark.createDataFrame([], self.schema)

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from chartula.operators.chunking import chunk_items
 from chartula.sources import documents as D
 from chartula.sources import tables as K
@@ -94,3 +96,24 @@ def test_streams(spark, sf, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     loader = ChunkLoader(spark, f"file://{tmp_path}/out", rows.schema)
     assert {tuple(r) for r in loader.run(str(tmp_path / "in")).collect()} == {("a", 2, "y"), ("b", 1, "z")}
+
+
+def test_pdfs_behind_titled_pages(spark):
+    pages = [("p", "<table><tr><td>Rules on Gold</td><td><a href='g.pdf'>x</a></td></tr><tr><td><a href='s.html'>Rules on Silver</a></td></tr></table>"), ("s.html", "<a href='s1.pdf'>download</a>"), ("o", "<a href='only.pdf'>x</a>"), ("n", None)]
+    wanted = spark.createDataFrame([("rules on GOLD", "p"), ("Rules on Silver", "p"), ("Rules on Tin", "o"), ("Rules on Tin 2", "p2"), ("Rules on Lead", "n")], "title string, url string")
+    got = {r.title: r.href for r in D.find_pdfs(spark.createDataFrame(pages, "url string, html string"), wanted).collect()}
+    assert got == {"rules on GOLD": "g.pdf", "Rules on Silver": "s1.pdf", "Rules on Tin": "only.pdf"}
+
+
+def test_csv_is_swapped(spark, tmp_path):
+    path = f"file://{tmp_path}/q"
+    K.write_csv(spark.createDataFrame([("1", "a"), ("2", "b")], "id string, v string"), path)
+    K.replace_csv(K.read_csv(spark, path).withColumn("v", F.upper("v")), path)
+    assert sorted(tuple(r) for r in K.read_csv(spark, path).collect()) == [("1", "A"), ("2", "B")]
+
+
+def test_lookup_without_a_row_fails(spark):
+    df = spark.createDataFrame([("a", 1)], "id string, v int")
+    assert K.point_lookup(df, "id", "a").first().v == 1
+    with pytest.raises(Exception, match="no row with id b"):
+        K.point_lookup(df, "id", "b").collect()
