@@ -19,7 +19,11 @@ SHARD_LINES, SUMMARY_ITEMS = 20_000, 8192
 #: Characters mistaken for each other, folded to the first of each group.
 MISREAD = ["ec", "oa0", "il1|", "nu"]
 #: Names of months, which with a number beside them are dates filled in.
-MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+MONTH = (
+    r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+    r"|janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|januar|februar|märz|juni|juli|oktober|dezember"
+    r"|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre)"
+)
 
 
 def wording(line: Column) -> Column:
@@ -28,7 +32,7 @@ def wording(line: Column) -> Column:
     Numbers and dates go (digits not part of a word); a single 0 or 1 next to a letter is a misread letter.
     """
     s = F.lower(line)
-    s = F.regexp_replace(s, rf"\b{MONTH}\b\.?(?=,?[\s-]+\d)|(?<=\d)(?:st|nd|rd|th)?[\s-]+{MONTH}\b", " ")
+    s = F.regexp_replace(s, rf"(?U)\b{MONTH}\b\.?(?=,?[\s-]+(?:de\s+)?\d)|(?<=\d)(?:st|nd|rd|th|er|\.)?[\s-]+(?:de\s+)?{MONTH}\b", " ")
     s = F.regexp_replace(s, r"(?<![\p{L}0-9])([01])(?=\p{L}{1,})|(?<=\p{L})([01])(?![0-9])", "$1$2\u0001")
     s = F.regexp_replace(s, r"0\u0001", "o")
     s = F.regexp_replace(s, r"1\u0001", "l")
