@@ -242,20 +242,26 @@ def _question_vectors(spark, d) -> DataFrame:
     return q.join(F.broadcast(q.select("doc").distinct()).join(firsts, "doc"), "doc").select("qid", "type", "vec")
 
 
+def _keyword_hits(spark, d, k: int) -> DataFrame:
+    types = read(spark, d, "questions").select(F.col("id").alias("qid"), "type")
+    terms = _terms(spark, d, False).join(F.broadcast(types), "qid")
+    return S.keyword_search(S.status_filter(_keyword_index(spark, d)[0], None), terms, k, allowed=E.allowed_by_type())
+
+
+def _vector_hits(spark, d, k: int) -> DataFrame:
+    vectors = spread(current_chunks(spark, d, ["chunk_id", "status", "boilerplate", "embedding"]), "chunk_id")
+    corpus = kept(f"{d}/vectors", vectors, read(spark, d, "chunks"))
+    q = written(_question_vectors(spark, d))
+    plain = F.col("type").isin(*E.PLAIN_TYPES)
+    return S.vector_search(S.status_filter(corpus, ("active",)), q.filter(plain), k).unionByName(S.vector_search(S.status_filter(corpus, None), q.filter(~plain), k))
+
+
 def _method_hits(spark, d, method: str, k: int = 30) -> DataFrame:
     """(id, chunk_id, score, rank): hits of each question among the chunks its type may use, cut at ``k`` after that."""
-    keyword = vector = None
-    pool = S.POOL if method == "hybrid" else k
-    if method != "vector":
-        types = read(spark, d, "questions").select(F.col("id").alias("qid"), "type")
-        terms = _terms(spark, d, False).join(F.broadcast(types), "qid")
-        keyword = S.keyword_search(S.status_filter(_keyword_index(spark, d)[0], None), terms, pool, allowed=E.allowed_by_type())
-    if method != "keyword":
-        corpus = spread(written(current_chunks(spark, d, ["chunk_id", "status", "boilerplate", "embedding"])), "chunk_id")
-        q = written(_question_vectors(spark, d))
-        plain = F.col("type").isin(*E.PLAIN_TYPES)
-        vector = S.vector_search(S.status_filter(corpus, ("active",)), q.filter(plain), pool).unionByName(S.vector_search(S.status_filter(corpus, None), q.filter(~plain), pool))
-    hits = {"keyword": keyword, "vector": vector}.get(method) if method != "hybrid" else S.hybrid_search(vector, keyword, k)
+    if method == "hybrid":
+        hits = S.hybrid_search(_vector_hits(spark, d, S.POOL), _keyword_hits(spark, d, S.POOL), k)
+    else:
+        hits = (_keyword_hits if method == "keyword" else _vector_hits)(spark, d, k)
     return hits.select(F.col("qid").alias("id"), "chunk_id", "score", "rank")
 
 
@@ -268,7 +274,14 @@ def _found(spark, d, method: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _of_methods(spark, d) -> DataFrame:
-    return reduce(DataFrame.unionByName, [_found(spark, d, m)[0].withColumn("method", F.lit(m)) for m in S.METHODS])
+    """(id, type, rank, hit_<k>.., all_found, method) of all methods; the fused list is made of the other two, whose first hits do not depend on the cut."""
+    vector, keyword = written(_vector_hits(spark, d, max(KS))), written(_keyword_hits(spark, d, max(KS)))
+    hits = {"vector": vector, "keyword": keyword, "hybrid": S.hybrid_search(vector, keyword, max(KS))}
+    every = reduce(DataFrame.unionByName, [h.select(F.concat_ws("\t", F.lit(m), "qid").alias("id"), "chunk_id", "rank") for m, h in hits.items()])
+    places = _chunks(spark, d, "doc", "region", "para", "section")
+    targets = E.parse_targets(read(spark, d, "questions")).filter("type <> 'unanswerable'").withColumn("_m", F.explode(F.array(*[F.lit(m) for m in S.METHODS])))
+    results = E.retrieval_results(every.join(places, "chunk_id"), targets.withColumn("id", F.concat_ws("\t", "_m", "id")), KS)
+    return results.withColumns({"method": F.split_part("id", F.lit("\t"), F.lit(1)), "id": F.split_part("id", F.lit("\t"), F.lit(2))})
 
 
 def policy_hits(spark, d):
