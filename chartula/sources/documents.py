@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -25,45 +26,67 @@ def table_text(table: dict) -> str:
     return "\n".join(" | ".join((cell.get("text") or "").strip() for cell in row) for row in grid)
 
 
-def walk_tree(doc: dict) -> Iterator[dict]:
-    """Items of a parsed document in reading order, by following its references with a stack; only the body layer, bullets in one form."""
-    heights = {int(k): ((v.get("size") or {}).get("height")) for k, v in (doc.get("pages") or {}).items()}
-
-    def place(node: dict) -> dict:
-        prov = (node.get("prov") or [None])[0]
-        if not prov:
-            return {"page": None, "top": None}
-        page, box = prov.get("page_no"), prov.get("bbox") or {}
+@dataclass
+class Tree:
+    """A parsed document: its nodes by reference, and the heights of its pages."""
+
+    nodes: dict[str, dict]
+    heights: dict[int, float | None]
+    roots: list[str]
+
+    @classmethod
+    def of(cls, doc: dict) -> Tree:
+        collections = {name: part for name, part in doc.items() if isinstance(part, list)}
+        nodes = {f"#/{name}/{n}": node for name, part in collections.items() for n, node in enumerate(part)}
+        heights = {int(n): (page.get("size") or {}).get("height") for n, page in (doc.get("pages") or {}).items()}
+        return cls(nodes, heights, below(doc.get("body") or {}))
+
+    def located(self, node: dict) -> dict:
+        """Page and distance from the top of the page; boxes are measured from the bottom unless they say otherwise."""
+        first = next(iter(node.get("prov") or []), None) or {}
+        page, box = first.get("page_no"), first.get("bbox") or {}
         top = box.get("t")
-        if top is not None and box.get("coord_origin", "BOTTOMLEFT") != "TOPLEFT":
-            top = heights[page] - top if heights.get(page) else None
+        if box.get("coord_origin", "BOTTOMLEFT") == "BOTTOMLEFT" and top is not None:
+            height = self.heights.get(page)
+            top = height - top if height else None
         return {"page": page, "top": None if top is None else float(top)}
 
-    def resolve(ref: str) -> dict:
-        _, kind, n = ref.split("/")
-        return doc[kind][int(n)]
-
-    stack = [(c["$ref"], False) for c in reversed(doc.get("body", {}).get("children", []))]
-    while stack:
-        ref, pictured = stack.pop()
-        node = resolve(ref)
-        if node.get("content_layer", "body") != "body":
-            continue
-        kind = node.get("self_ref", ref).split("/")[1]
-        children = [c["$ref"] for c in node.get("children", [])]
-        if kind == "groups" and node.get("label") == "inline":
-            parts = [p for p in map(resolve, children)]
-            text = " ".join(p["text"] for p in parts if p.get("text"))
-            if text:
-                yield {"label": parts[0].get("label", "text"), "text": text, "marker": "", "in_picture": pictured, **place(parts[0])}
-            continue
-        if kind == "tables":
-            yield {"label": node.get("label", "table"), "text": table_text(node), "marker": "", "in_picture": pictured, **place(node)}
-            continue
-        if kind not in ("groups", "pictures"):
-            marker = node.get("marker") or ""
-            yield {"label": node.get("label", "text"), "text": node.get("text") or "", "marker": "•" if marker in BULLETS else marker, "in_picture": pictured, **place(node)}
-        stack += [(c, pictured or kind == "pictures") for c in reversed(children)]
+    def item(self, node: dict, pictured: bool, text: str | None = None, label: str = "text") -> dict:
+        marker = node.get("marker") or "" if text is None else ""
+        return {"label": node.get("label", label), "text": node.get("text") or "" if text is None else text, "marker": "•" if marker in BULLETS else marker, "in_picture": pictured, **self.located(node)}
+
+    def items(self, refs: list[str], pictured: bool = False) -> Iterator[dict]:
+        """What the nodes and those below them show, in reading order. Only the body layer counts; a line made of inline pieces is one item."""
+        waiting = [iter([(ref, pictured) for ref in refs])]
+        while waiting:
+            ref, pictured = next(waiting[-1], (None, False))
+            if ref is None:
+                waiting.pop()
+                continue
+            node = self.nodes[ref]
+            kind = ref.split("/")[1]
+            if node.get("content_layer", "body") != "body":
+                continue
+            if kind == "groups" and node.get("label") == "inline":
+                pieces = [self.nodes[r] for r in below(node)]
+                if line := " ".join(filter(None, (p.get("text") for p in pieces))):
+                    yield self.item(pieces[0], pictured, line)
+            elif kind == "tables":
+                yield self.item(node, pictured, table_text(node), "table")
+            else:
+                if kind not in ("groups", "pictures"):
+                    yield self.item(node, pictured)
+                waiting.append(iter([(r, pictured or kind == "pictures") for r in below(node)]))
+
+
+def below(node: dict) -> list[str]:
+    return [child["$ref"] for child in node.get("children", [])]
+
+
+def walk_tree(doc: dict) -> Iterator[dict]:
+    """Items of a parsed document in reading order."""
+    tree = Tree.of(doc)
+    return tree.items(tree.roots)
 
 
 def tree_items(trees: DataFrame, doc: str = "doc", tree: str = "json") -> DataFrame:
