@@ -32,7 +32,9 @@ def wording(line: Column) -> Column:
     Numbers and dates go (digits not part of a word); a single 0 or 1 next to a letter is a misread letter.
     """
     s = F.lower(line)
-    s = F.regexp_replace(s, rf"(?U)\b{MONTH}\b\.?(?=,?[\s-]+(?:de\s+)?\d)|(?<=\d)(?:st|nd|rd|th|er|\.)?[\s-]+(?:de\s+)?{MONTH}\b", " ")
+    word = r"(?<![\p{L}\p{N}_])" + MONTH + r"(?![\p{L}\p{N}_])"
+    dates = rf"{word}\.?(?=,?[\s-]+(?:de\s+)?\d)|(?<=\d)(?:st|nd|rd|th|er|\.)?[\s-]+(?:de\s+)?{word}"
+    s = F.when(s.rlike(r"\d"), F.regexp_replace(s, dates, " ")).otherwise(s)  # only lines with numbers hold dates
     s = F.regexp_replace(s, r"(?<![\p{L}0-9])([01])(?=\p{L}{1,})|(?<=\p{L})([01])(?![0-9])", "$1$2\u0001")
     s = F.regexp_replace(s, r"0\u0001", "o")
     s = F.regexp_replace(s, r"1\u0001", "l")
